@@ -73,21 +73,19 @@ def counted(tokens: Column) -> Column:
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All n-grams of ``low`` to ``high`` tokens, joined with single spaces."""
 
+    def of_size(tok: Column, n: int) -> Column:
+        if n == 1:
+            return tok
+        grown = F.transform(
+            tok,
+            lambda t, i: F.when(
+                i + n <= F.size(tok), F.concat_ws(" ", t, *[F.get(tok, i + j) for j in range(1, n)])
+            ),
+        )
+        return F.filter(grown, lambda g: g.isNotNull())
+
     def grams(tok: Column) -> Column:
-        parts = []
-        for n in range(low, high + 1):
-            if n == 1:
-                parts.append(tok)
-                continue
-            grown = F.transform(
-                tok,
-                lambda t, i, n=n: F.when(
-                    i + n <= F.size(tok),
-                    F.concat_ws(" ", t, *[F.get(tok, i + j) for j in range(1, n)]),
-                ),
-            )
-            parts.append(F.filter(grown, lambda g: g.isNotNull()))
-        return F.concat(*parts) if len(parts) > 1 else parts[0]
+        return F.concat(*[of_size(tok, n) for n in range(low, high + 1)])
 
     return let(tokens, grams)
 
