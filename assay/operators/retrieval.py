@@ -191,42 +191,37 @@ def _sum_of_squares(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda total, c: total + c["n"] * c["n"])
 
 
-def _with_passage_counts(pages: DataFrame, size: int, text: str) -> DataFrame:
-    """One row per page with its passages and their term counts, made once per page."""
-
-    def describe(passage: Column, no: Column) -> Column:
-        return tx.let(
-            tx.counted(tx.terms(passage)),
-            lambda counts: F.struct(
-                no.alias("chunk_no"),
-                passage.alias("text"),
-                counts.alias("counts"),
-                _sum_of_squares(counts).alias("norm2"),
-            ),
-        )
-
-    return pages.select("page_id", F.transform(tx.chunks(F.col(text), size), describe).alias("chunks"))
-
-
 def term_profile(text: Column) -> Column:
-    """``struct<tf map, norm2>`` of a claim, for the similarity filter."""
+    """``struct<counts, norm2>`` of a claim, for the similarity filter."""
     return tx.let(
         tx.counted(tx.terms(text)),
-        lambda counts: F.struct(
-            F.map_from_entries(counts).alias("tf"), _sum_of_squares(counts).alias("norm2")
-        ),
+        lambda counts: F.struct(counts.alias("counts"), _sum_of_squares(counts).alias("norm2")),
     )
 
 
-def profile_cosine(profile: Column, counts: Column, norm2: Column) -> Column:
-    """Cosine of two term-count vectors; the sums are whole numbers, so it is exact to one rounding."""
-    shared = F.aggregate(
-        counts,
-        F.lit(0).cast("long"),
-        lambda total, c: total + c["n"] * F.coalesce(F.try_element_at(profile["tf"], c["term"]), F.lit(0)),
-    )
-    scale = F.sqrt((profile["norm2"] * norm2).cast("double"))
-    return F.when(scale > 0, shared / scale).otherwise(F.lit(0.0))
+def profile_cosine(profile: Column, passage: Column) -> Column:
+    """Cosine of a claim's and a passage's term counts; the sums are whole numbers, so it is
+    exact to one rounding.
+
+    Both lists are sorted by term.  Sorting them together is one merge, after which
+    a term of both sides stands next to itself.
+    """
+
+    def shared(merged: Column) -> Column:
+        products = F.transform(
+            merged,
+            lambda c, i: F.when(
+                (i > 0) & (c["term"] == F.get(merged, i - 1)["term"]), (c["n"] * F.get(merged, i - 1)["n"]).cast("long")
+            ).otherwise(F.lit(0).cast("long")),
+        )
+        return F.aggregate(products, F.lit(0).cast("long"), lambda total, p: total + p)
+
+    def compare(counts: Column) -> Column:
+        merged = F.sort_array(F.concat(profile["counts"], counts))
+        scale = F.sqrt((profile["norm2"] * _sum_of_squares(counts)).cast("double"))
+        return tx.let(scale, lambda s: F.when(s > 0, tx.let(merged, shared) / s).otherwise(F.lit(0.0)))
+
+    return tx.let(tx.counted(tx.terms(passage)), compare)
 
 
 def scored_passages(
@@ -240,11 +235,9 @@ def scored_passages(
     ``(claim_id, page_id, page_rank, chunk_no, text, similarity)``."""
     pairs = _candidate_rows(claims, candidates, pages, size, text)
     return (
-        pairs.select("claim_id", "page_id", "page_rank", "profile", F.explode("chunks").alias("c"))
-        .select(
-            "claim_id", "page_id", "page_rank", F.col("c.chunk_no").alias("chunk_no"), F.col("c.text").alias("text"),
-            profile_cosine(F.col("profile"), F.col("c.counts"), F.col("c.norm2")).alias("similarity"),
-        )
+        pairs.select("claim_id", "page_id", "page_rank", "profile", F.posexplode("chunks").alias("chunk_no", "text"))
+        .withColumn("similarity", profile_cosine(F.col("profile"), F.col("text")))
+        .drop("profile")
     )
 
 
@@ -262,16 +255,37 @@ def dense_similar(
 
 
 def _candidate_rows(claims, candidates, pages, size, text) -> DataFrame:
-    """One row per claim and candidate page, with the page's described passages.
+    """One row per claim and candidate page, with the page's passages.
 
-    Only pages that are a candidate of some claim are cut.  Each page is shuffled
-    once, however many claims it serves.
+    Only pages that are a candidate of some claim are cut, and each page is cut and
+    shuffled once, however many claims it serves.  A page that very many claims
+    share is a skewed key of the last join, which adaptive execution splits.
     """
     used = candidates.select("page_id").distinct()
-    described = _with_passage_counts(pages.join(used, "page_id", "left_semi"), size, text)
+    cut_pages = pages.join(used, "page_id", "left_semi").select(
+        "page_id", tx.chunks(F.col(text), size).alias("chunks")
+    )
     profiles = claims.select("claim_id", *[c for c in ("k",) if c in claims.columns],
                              term_profile(F.col("claim")).alias("profile"))
-    return profiles.join(candidates, "claim_id").join(described, "page_id")
+    return profiles.join(candidates, "claim_id").join(cut_pages, "page_id")
+
+
+def _first_similar(profile: Column, chunks: Column, page_id: Column, k: Column, threshold: float) -> Column:
+    """The first ``k`` similar passages of one page.
+
+    Once ``k`` are found the rest of the page is passed over without comparing.
+    """
+
+    def step(state: Column, passage: Column) -> Column:
+        hit = F.struct(page_id.alias("page_id"), state["at"].alias("chunk_no"), passage.alias("text"))
+        similar = profile_cosine(profile, passage) >= threshold
+        kept = F.when(F.size(state["kept"]) >= k, state["kept"]).when(
+            similar, F.concat(state["kept"], F.array(hit))
+        ).otherwise(state["kept"])
+        return F.struct((state["at"] + 1).alias("at"), kept.alias("kept"))
+
+    nothing = F.array().cast("array<struct<page_id:bigint,chunk_no:int,text:string>>")
+    return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), nothing.alias("kept")), step)["kept"]
 
 
 def _kept_per_claim(
@@ -285,30 +299,21 @@ def _kept_per_claim(
     claim brings together at most ``limit`` short rows.
     """
     pairs = _candidate_rows(claims, candidates, pages, size, text)
-    kept = F.filter(
-        F.col("chunks"), lambda c: profile_cosine(F.col("profile"), c["counts"], c["norm2"]) >= threshold
-    )
+    bound = F.least("k", F.lit(k_max))
     slim = pairs.select(
-        "claim_id", "page_id", "page_rank", "k", F.size("chunks").alias("n_passages"), kept.alias("kept")
-    ).select(
-        "claim_id", "page_rank", "k", "n_passages", F.size("kept").alias("n_kept"),
-        F.transform(
-            F.slice("kept", F.lit(1), F.least("k", F.lit(k_max))),
-            lambda c: F.struct(F.col("page_id").alias("page_id"), c["chunk_no"].alias("chunk_no"), c["text"].alias("text")),
-        ).alias("kept"),
+        "claim_id", "page_rank", bound.alias("k"), F.size("chunks").alias("n_passages"),
+        _first_similar(F.col("profile"), F.col("chunks"), F.col("page_id"), bound, threshold).alias("kept"),
     )
     ordered = F.sort_array(F.collect_list(F.struct("page_rank", "kept")))
     grouped = slim.groupBy("claim_id").agg(
         F.count("*").alias("n_candidates"),
         F.sum("n_passages").alias("n_passages"),
-        F.sum("n_kept").alias("n_kept"),
         F.first("k").alias("k"),
         ordered.alias("by_page"),
     )
     flat = F.flatten(F.transform("by_page", lambda p: p["kept"]))
     return grouped.select(
-        "claim_id", "n_candidates", "n_passages", "n_kept",
-        F.slice(flat, F.lit(1), F.least("k", F.lit(k_max))).alias("evidence"),
+        "claim_id", "n_candidates", "n_passages", F.slice(flat, F.lit(1), F.col("k")).alias("evidence")
     )
 
 
@@ -352,7 +357,7 @@ def retrieve(
     text: str = "extract",
 ) -> DataFrame:
     """Evidence for every claim: ``(claim_id, claim, k_used, passages, n_candidates,
-    n_passages, n_kept, used_fallback)``.
+    n_passages, n_kept, used_fallback)``; ``n_kept`` counts the evidence passages.
 
     The result depends on the claim text alone, so copies of a claim are retrieved
     once and joined back.  A claim without evidence keeps its row with an empty
@@ -360,14 +365,14 @@ def retrieve(
     """
     index = index if index is not None else postings(pages, text)
     distinct = claims.groupBy("claim").agg(F.min("claim_id").alias("claim_id"))
-    scored = cut(keyword_queries(with_budget(distinct, hedge, vague, k_min, k_max), stopwords))
+    scored = cut(keyword_queries(with_budget(distinct, hedge, vague, k_min, k_max), stopwords), spread=True)
 
     search = {"limit": limit, "hot_pages": hot_pages, "buckets": buckets}
-    found = cut(search_pages(scored, index, **search).withColumn("used_fallback", F.lit(False)))
+    found = cut(search_pages(scored, index, **search).withColumn("used_fallback", F.lit(False)), spread=True)
     again = cut(fallback_queries(scored, found).select("claim_id", "query"))
     if not again.isEmpty():
         second = search_pages(again, index, **search).withColumn("used_fallback", F.lit(True))
-        found = cut(found.unionByName(second))
+        found = cut(found.unionByName(second), spread=True)
 
     kept = _kept_per_claim(scored, found, pages, size, threshold, k_max, text)
     flags = again.select("claim_id", F.lit(True).alias("used_fallback"))
@@ -379,7 +384,8 @@ def retrieve(
             "claim",
             F.col("k").alias("k_used"),
             F.coalesce(F.transform("evidence", lambda e: e["text"]), nothing).alias("passages"),
-            *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_candidates", "n_passages", "n_kept")],
+            *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_candidates", "n_passages")],
+            F.coalesce(F.size("evidence"), F.lit(0)).alias("n_kept"),
             F.coalesce("used_fallback", F.lit(False)).alias("used_fallback"),
         )
     )

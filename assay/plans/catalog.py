@@ -109,7 +109,7 @@ def chunk_passages(spark, sf_dir):
 
 @query
 def similarity_filter(spark, sf_dir):
-    scored = rt.scored_passages(v.probes(spark, sf_dir), cut(_candidates(spark, sf_dir)), v.corpus(spark, sf_dir))
+    scored = rt.scored_passages(v.probes(spark, sf_dir), cut(_candidates(spark, sf_dir), spread=True), v.corpus(spark, sf_dir))
     kept = rt.similar_passages(scored)
     return _rounded(kept.select("claim_id", "page_id", "page_rank", "chunk_no", "similarity"), "similarity")
 
@@ -117,13 +117,13 @@ def similarity_filter(spark, sf_dir):
 @query
 def adaptive_topk_evidence(spark, sf_dir):
     claims = with_budget(v.probes(spark, sf_dir), v.HEDGE, v.VAGUE)
-    return rt.adaptive_passages(claims, cut(_candidates(spark, sf_dir)), v.corpus(spark, sf_dir))
+    return rt.adaptive_passages(claims, cut(_candidates(spark, sf_dir), spread=True), v.corpus(spark, sf_dir))
 
 
 def _flat(evidence: DataFrame) -> DataFrame:
     joined = ev.join_evidence(F.col("passages"))
     return evidence.select(
-        "claim_id", "k_used", "n_candidates", "n_passages", "n_kept", "used_fallback", F.size("passages").alias("n_evidence"),
+        "claim_id", "k_used", "n_candidates", "n_passages", "n_kept", "used_fallback",
         F.md5(joined).alias("evidence_md5"),
     )
 

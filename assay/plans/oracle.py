@@ -70,7 +70,7 @@ SHORT = """
 short_claims AS (
   SELECT conv_id * 1000 + turn AS claim_id, text AS claim, role AS speaker, NULL::VARCHAR AS subject FROM conversations
 )"""
-OWN_EVIDENCE = f"own_evidence AS (SELECT claim_id, list_slice({chunks('claim')}, 1, 4) AS passages FROM labelled)"
+OWN_EVIDENCE = f"own_kept AS (SELECT claim_id, list_slice({chunks('claim')}, 1, 4) AS passages FROM labelled)"
 
 
 # --- Uncertainty -------------------------------------------------------------------------------
@@ -225,28 +225,27 @@ kept AS (
   FROM compared c WHERE similarity >= 0.25::DOUBLE
 ),
 counts AS (
-  SELECT claim_id, count(DISTINCT page_id) AS n_candidates, count(*) AS n_passages,
-    count(*) FILTER (similarity >= 0.25::DOUBLE) AS n_kept FROM compared GROUP BY claim_id
+  SELECT claim_id, count(DISTINCT page_id) AS n_candidates, count(*) AS n_passages FROM compared GROUP BY claim_id
 ),
 texts AS (
   SELECT s.claim_id, list(t.text ORDER BY t.r) AS passages FROM scored s JOIN kept t ON s.claim_id = t.claim_id AND t.r <= s.k GROUP BY s.claim_id
 ),
 evidence AS (
   SELECT s.claim_id, s.k AS k_used, coalesce(n.n_candidates, 0) AS n_candidates, coalesce(n.n_passages, 0) AS n_passages,
-    coalesce(n.n_kept, 0) AS n_kept, s.claim_id IN (SELECT claim_id FROM again) AS used_fallback,
-    coalesce(len(t.passages), 0)::INTEGER AS n_evidence, coalesce(t.passages, []) AS passages
+    coalesce(len(t.passages), 0)::INTEGER AS n_kept, s.claim_id IN (SELECT claim_id FROM again) AS used_fallback,
+    coalesce(t.passages, []) AS passages
   FROM scored s LEFT JOIN counts n ON s.claim_id = n.claim_id LEFT JOIN texts t ON s.claim_id = t.claim_id
 )"""
 
 
-_FLAT = """SELECT claim_id, k_used, n_candidates, n_passages, n_kept, used_fallback, n_evidence,
+_FLAT = """SELECT claim_id, k_used, n_candidates, n_passages, n_kept, used_fallback,
   md5(coalesce(array_to_string(passages, ' [SEP] '), '')) AS evidence_md5 FROM evidence"""
 ORACLE["evidence_build"] = f"WITH {SHORT}, {CORPUS}, {evidence_rows('short_claims', 'corpus')} {_FLAT}"
 ORACLE["fallback_retrieval"] = f"""WITH {CLAIMS}, small AS (SELECT item_id AS page_id, text AS extract FROM benchmark),
 {evidence_rows('claims', 'small')} {_FLAT}"""
 ORACLE["retrieval_fill_rate"] = f"""WITH {PROBES}, {CORPUS}, {evidence_rows('probes', 'corpus')}
-SELECT k_used, count(*) AS n_claims, count(*) FILTER (n_evidence > 0) AS n_filled,
-  round(avg((n_evidence > 0)::INTEGER::DOUBLE), 6) AS fill_rate FROM evidence GROUP BY k_used"""
+SELECT k_used, count(*) AS n_claims, count(*) FILTER (n_kept > 0) AS n_filled,
+  round(avg((n_kept > 0)::INTEGER::DOUBLE), 6) AS fill_rate FROM evidence GROUP BY k_used"""
 ORACLE["stream_evidence"] = f"WITH {PROBES}, {CORPUS}, {evidence_rows('probes', 'corpus')} {_FLAT}"
 
 
@@ -259,18 +258,18 @@ ORACLE["evidence_lookup_last_wins"] = """WITH last AS (
 SELECT d.doc_id AS claim_id, l.evidence FROM documents d JOIN last l ON d.text = l.text"""
 ORACLE["evidence_alignment"] = f"""WITH {CLAIMS}, {OWN_EVIDENCE}
 SELECT c.claim_id, 'table' AS evidence_mode, coalesce(len(e.passages), 0)::INTEGER AS n_passages
-FROM claims c LEFT JOIN own_evidence e ON c.claim_id = e.claim_id
+FROM claims c LEFT JOIN own_kept e ON c.claim_id = e.claim_id
 UNION ALL SELECT claim_id, 'none', 0 FROM claims"""
 _FILLED = f"coalesce(len(list_filter(e.passages, lambda p: {strip('p')} <> '')), 0) > 0"
 ORACLE["fill_rate"] = f"""WITH {CLAIMS}, {OWN_EVIDENCE}
 SELECT split, count(*) AS n_claims, count(*) FILTER ({_FILLED}) AS n_filled, round(avg(({_FILLED})::INTEGER::DOUBLE), 6) AS fill_rate
-FROM claims c LEFT JOIN own_evidence e ON c.claim_id = e.claim_id GROUP BY split"""
+FROM claims c LEFT JOIN own_kept e ON c.claim_id = e.claim_id GROUP BY split"""
 ORACLE["evidence_parse"] = f"""WITH parsed AS (
   SELECT doc_id AS claim_id, list_filter(string_split(replace(text, chr(10), ' [SEP] '), ' [SEP] '), lambda p: {strip('p')} <> '') AS passages FROM documents)
 SELECT claim_id, len(passages)::INTEGER AS n_passages, md5(coalesce(array_to_string(passages, ' [SEP] '), '')) AS evidence_md5 FROM parsed"""
 ORACLE["evidence_csv_roundtrip"] = f"""WITH {CLAIMS}, {OWN_EVIDENCE}
 SELECT claim_id, len(passages)::INTEGER AS k_used, len(passages)::INTEGER AS n_passages,
-  md5(coalesce(array_to_string(passages, ' [SEP] '), '')) AS evidence_md5 FROM own_evidence"""
+  md5(coalesce(array_to_string(passages, ' [SEP] '), '')) AS evidence_md5 FROM own_kept"""
 
 
 # --- Claims ------------------------------------------------------------------------------------
@@ -332,7 +331,7 @@ SELECT claim_id, {_CONTEXT} AS context, md5('[' || coalesce(speaker, '') || '] [
   md5(claim) AS bare_md5 FROM short_claims"""
 ORACLE["model_text"] = f"""WITH {CLAIMS}, {OWN_EVIDENCE},
 parts AS (SELECT c.claim_id, {_CONTEXT} AS context, {strip("coalesce(array_to_string(list_slice(e.passages, 1, 3), ' '), '')")} AS three,
-  coalesce(e.passages[1], '') AS one FROM claims c LEFT JOIN own_evidence e ON c.claim_id = e.claim_id),
+  coalesce(e.passages[1], '') AS one FROM claims c LEFT JOIN own_kept e ON c.claim_id = e.claim_id),
 texts AS (SELECT claim_id, CASE WHEN three = '' THEN context ELSE context || ' [SEP] ' || three END AS whole,
   CASE WHEN one = '' THEN context ELSE context || ' [SEP] ' || one END AS joined FROM parts)
 SELECT claim_id, length(whole)::INTEGER AS n_chars, md5(whole) AS text_md5, md5(joined) AS joined_md5 FROM texts"""
@@ -446,7 +445,7 @@ second_words AS (SELECT claim_id, text, {words('text')} AS ws FROM second),
 ORACLE["augment_union"] = f"""WITH {CLAIMS}, {OWN_EVIDENCE}, {_lexicon()}, {substituted('labelled', '0.15::DOUBLE', 't.claim_id', 'done')},
 both_sets AS (SELECT *, false AS is_augmented FROM labelled UNION ALL SELECT *, true FROM done)
 SELECT b.claim_id, is_augmented, label, speaker, subject, coalesce(len(e.passages), 0)::INTEGER AS n_passages, {_DIGEST}
-FROM both_sets b LEFT JOIN own_evidence e ON b.claim_id = e.claim_id"""
+FROM both_sets b LEFT JOIN own_kept e ON b.claim_id = e.claim_id"""
 ORACLE["paraphrase_table"] = f"""WITH {CLAIMS}, {_lexicon()},
 changed AS (SELECT * REPLACE (CASE WHEN label IS NOT NULL THEN array_to_string(list_reverse({words('claim')}), ' ') ELSE claim END AS claim) FROM claims),
 {substituted('changed', '0.3::DOUBLE', '11', 'done')} SELECT claim_id, {_DIGEST} FROM done"""
@@ -625,7 +624,7 @@ SELECT *, round(CASE WHEN only_base + only_variant = 0 THEN 0.0::DOUBLE
   ELSE pow(greatest(abs(only_base - only_variant) - 1, 0), 2) / (only_base + only_variant)::DOUBLE END, 6) AS statistic FROM counted"""
 ORACLE["stratified_accuracy"] = f"""WITH {ATTACKED}, {OWN_EVIDENCE}, {scored('labelled', v.HEDGE, v.VAGUE)},
 joined AS (SELECT a.pred = a.label AS ok, coalesce(len(e.passages), 0) AS n_ev, s.specificity, s.n_words FROM attacked a
-  JOIN scored s ON a.claim_id = s.claim_id LEFT JOIN own_evidence e ON a.claim_id = e.claim_id),
+  JOIN scored s ON a.claim_id = s.claim_id LEFT JOIN own_kept e ON a.claim_id = e.claim_id),
 tagged AS (
   SELECT 'evidence' AS stratum, CASE WHEN n_ev > 3 THEN 'many' WHEN n_ev > 0 THEN 'some' ELSE 'none' END AS value, ok FROM joined
   UNION ALL SELECT 'specific', CASE WHEN specificity > 0 THEN 'yes' ELSE 'no' END, ok FROM joined

@@ -50,13 +50,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Ends the lineage where a result feeds several later branches, so that it
-    is computed once and survives the loss of an executor.
+    is computed once and survives the loss of an executor.  ``spread`` writes as
+    many files as the session has shuffle partitions: for short rows that stand
+    for much work each, which a split by bytes would leave to a few tasks.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    df.write.parquet(path)
+    rows = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else df
+    rows.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
