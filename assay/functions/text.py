@@ -10,12 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One white-space character in the sense of Python's ``str.split``.  Spelled out
-# so that every regular-expression engine agrees on it.
-SPACE = (
-    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-)
+# One white-space character in the sense of Python's ``str.split``, for patterns that
+# start with the flag ``(?U)``.
+SPACE = r"[\s\x1c-\x1f]"
 # A run of two or more letters, digits or underscores.
 TERM = r"[\p{L}\p{N}_]{2,}"
 
@@ -31,12 +28,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Text without leading and trailing white space."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(text, f"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
 def words(text: Column) -> Column:
     """White-space separated words, in order."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"(?U){SPACE}+"), "")
 
 
 def terms(text: Column) -> Column:
@@ -114,24 +111,17 @@ def keywords(text: Column, stopwords: list[str] | tuple[str, ...], top: int = 5)
     stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
 
     def pick(tok: Column) -> Column:
-        ranked = F.sort_array(
-            F.transform(counted(tok), lambda c: F.struct((-c["n"]).alias("m"), c["term"].alias("t")))
-        )
-        best = F.transform(F.slice(ranked, 1, top), lambda c: c["t"])
-        return let(
-            best,
-            lambda b: F.array_join(F.filter(F.array_distinct(tok), lambda t: F.array_contains(b, t)), " "),
+        content = F.filter(counted(tok), lambda c: ~F.array_contains(stop, c["term"]))
+        ranked = F.sort_array(F.transform(content, lambda c: F.struct((-c["n"]).alias("m"), c["term"].alias("t"))))
+        best = F.transform(
+            F.slice(ranked, 1, top), lambda c: F.struct(F.array_position(tok, c["t"]).alias("at"), c["t"].alias("t"))
         )
+        return F.array_join(F.transform(F.sort_array(best), lambda b: b["t"]), " ")
 
     def query(ws: Column) -> Column:
-        content = F.filter(terms(text), lambda t: ~F.array_contains(stop, t))
+        found = let(terms(text), pick)
         return F.when(F.size(ws) <= top, text).otherwise(
-            let(
-                content,
-                lambda tok: F.when(F.size(tok) > 0, pick(tok)).otherwise(
-                    F.array_join(F.slice(ws, 1, top), " ")
-                ),
-            )
+            let(found, lambda q: F.when(q != "", q).otherwise(F.array_join(F.slice(ws, 1, top), " ")))
         )
 
     return let(words(text), query)

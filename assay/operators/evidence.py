@@ -26,7 +26,7 @@ def join_evidence(passages: Column, separator: str = SEPARATOR) -> Column:
 
 def is_filled(passages: Column) -> Column:
     """Whether a claim has any non-blank passage."""
-    return F.exists(passages, lambda p: p.rlike(f"[^{SPACE[1:]}"))
+    return F.exists(passages, lambda p: p.rlike(f"(?U)[^{SPACE[1:]}"))
 
 
 def lookup(claims: DataFrame, cache: DataFrame, order: str = "row_no") -> DataFrame:

@@ -223,7 +223,7 @@ def write_raw_claims(spark, sf_dir) -> str:
     """Documents as raw claims files: German rows carry a surplus field, Spanish rows are short."""
     docs = v.claims(spark, sf_dir)
     names = F.array(*[F.lit(n) for n in LABEL_NAMES])
-    flat = F.regexp_replace("claim", f"{tx.SPACE}+", " ")
+    flat = F.regexp_replace("claim", f"(?U){tx.SPACE}+", " ")
     counts = [F.floor(uniform(F.lit(c), F.col("claim_id")) * 9).cast("string") for c in cl.RAW_COUNTS]
     short = [
         F.concat(F.lit("c"), F.col("claim_id")), F.get(names, F.floor(uniform(F.lit("label"), F.col("claim_id")) * len(LABEL_NAMES)).cast("int")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assay.functions.text import SPACE, TERM
+from assay.functions.text import TERM
 from assay.lexicons import HEDGE_WORDS, KEPT_WORDS, LABEL_CLASS, VAGUE_WORDS
 from assay.plans import views as v
 from assay.plans.catalog import LABEL_NAMES
@@ -10,6 +10,9 @@ from assay.sources.claims import RAW_COUNTS
 
 ORACLE: dict[str, str] = {}
 
+# White space spelled out for an engine whose classes know ASCII only.
+SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 # --- Building blocks ---------------------------------------------------------------------------
 
 
@@ -46,6 +49,12 @@ def uniform(*key) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {parts})), 1, 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE)"
 
 
+def draw(pos: str, *key) -> str:
+    """The draw at position ``pos``: four 32-bit numbers per digest."""
+    parts = ", ".join(f"({k})::VARCHAR" for k in (*key, f"({pos}) // 4"))
+    return f"((('0x' || substr(md5(concat_ws('|', {parts})), (1 + 8 * (({pos}) % 4))::INTEGER, 8))::UBIGINT)::DOUBLE / 4294967296.0::DOUBLE)"
+
+
 def digest(*key) -> str:
     return "md5(concat_ws('|', " + ", ".join(f"({k})::VARCHAR" for k in key) + "))"
 
@@ -376,7 +385,7 @@ FROM texts t LEFT JOIN weights w ON t.claim_id = w.claim_id GROUP BY t.claim_id"
 
 
 def deletion(ws: str, text: str, claim_id: str, p: float, seed) -> str:
-    keep = f"list_filter({ws}, lambda w, i: list_contains({names(KEPT_WORDS)}, lower(w)) OR {uniform(claim_id, seed, lit('delete'), 'i - 1')} > {p}::DOUBLE)"
+    keep = f"list_filter({ws}, lambda w, i: list_contains({names(KEPT_WORDS)}, lower(w)) OR {draw('i - 1', claim_id, seed, lit('delete'))} > {p}::DOUBLE)"
     return f"CASE WHEN len({ws}) <= 3 OR len({keep}) = 0 THEN {text} ELSE array_to_string({keep}, ' ') END"
 
 
@@ -416,7 +425,7 @@ lexicon AS (
 
 def substituted(source: str, p: str, seed: str, name: str, key: str = "claim_id") -> str:
     """Word substitution in ``source(<key>, claim)``, row by row over single words."""
-    u1 = uniform("t.claim_id", seed, lit("synonym"), "t.pos")
+    u1 = draw("t.pos", "t.claim_id", seed, lit("synonym"))
     u2 = uniform("t.claim_id", seed, lit("choose"), "t.pos")
     extra = ", ".join(f"t.{k.strip()}" for k in key.split(","))
     return f"""
