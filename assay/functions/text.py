@@ -73,13 +73,11 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     def of_size(tok: Column, n: int) -> Column:
         if n == 1:
             return tok
+        # Past the last full gram a token is missing, which makes the text null.
         grown = F.transform(
-            tok,
-            lambda t, i: F.when(
-                i + n <= F.size(tok), F.concat_ws(" ", t, *[F.get(tok, i + j) for j in range(1, n)])
-            ),
+            tok, lambda t, i: F.concat(t, *[x for j in range(1, n) for x in (F.lit(" "), F.get(tok, i + j))])
         )
-        return F.filter(grown, lambda g: g.isNotNull())
+        return F.array_compact(grown)
 
     def grams(tok: Column) -> Column:
         return F.concat(*[of_size(tok, n) for n in range(low, high + 1)])

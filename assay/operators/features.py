@@ -137,10 +137,8 @@ def _grams_sql(text: str, ngram: tuple[int, int]) -> str:
     """The n-gram array of ``text`` in SQL, for the SQL stage of a saved ML pipeline."""
     parts = ["toks"]
     for n in range(2, ngram[1] + 1):
-        more = ", ".join(f"get(toks, i + {j})" for j in range(1, n))
-        parts.append(
-            f"filter(transform(toks, (t, i) -> if(i + {n} <= size(toks), concat_ws(' ', t, {more}), null)), g -> g is not null)"
-        )
+        more = ", ".join(f"' ', get(toks, i + {j})" for j in range(1, n))
+        parts.append(f"array_compact(transform(toks, (t, i) -> concat(t, {more})))")
     parts = parts[ngram[0] - 1:]
     grams = f"concat({', '.join(parts)})" if len(parts) > 1 else parts[0]
     tokens = f"regexp_extract_all(lower({text}), r'{tx.TERM}', 0)"

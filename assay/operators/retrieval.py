@@ -17,7 +17,7 @@ from assay.functions import text as tx
 from assay.functions import vectors as vx
 from assay.functions.uncertainty import with_budget
 from assay.lexicons import HEDGE_WORDS, VAGUE_WORDS
-from assay.session import cut
+from assay.session import cut, width
 
 PAGES_PER_QUERY = 10
 PASSAGE_WORDS = 100
@@ -25,6 +25,8 @@ MIN_SIMILARITY = 0.25
 FALLBACK_CHARS = 100
 # Posting lists longer than this are ranked once per set of such terms.
 HOT_TERM_PAGES = 100_000
+# Up to this many postings (some 100 MB) are sent to every task; more are shuffled.
+BROADCAST_POSTINGS = 1_000_000
 
 
 def keyword_queries(claims: DataFrame, stopwords: Sequence[str], top: int = 5) -> DataFrame:
@@ -105,11 +107,7 @@ def search_pages(
     hot = read.groupBy("term").agg(F.count("*").alias("pages")).where(F.col("pages") > hot_pages)
     hot = cut(hot.select("term"))
     if hot.isEmpty():
-        hits = (
-            query_terms.join(read, "term")
-            .groupBy("query_id", "page_id")
-            .agg(F.count("*").alias("matched"), F.sum("tf").alias("tf_sum"))
-        )
+        hits = _score(_meet(query_terms, read), "query_id")
     else:
         hits = _rank_with_hot_terms(query_terms, read, hot, limit)
     ranked = _best_pages(hits, "query_id", limit)
@@ -120,6 +118,24 @@ def search_pages(
     )
 
 
+def _meet(query_terms: DataFrame, read: DataFrame) -> DataFrame:
+    """Postings of each query's terms, laid out by query.
+
+    No term has more than the hot bound of pages here, so the rows of one query are
+    bounded.  Scoring and ranking both reuse the layout by query: the many rows
+    move once, or not at all when the postings are few enough to be broadcast.
+    """
+    if read.count() <= BROADCAST_POSTINGS:
+        laid_out = query_terms.repartition(width(read.sparkSession), "query_id")
+        return laid_out.join(F.broadcast(read), "term")
+    return query_terms.join(read, "term").repartition("query_id")
+
+
+def _score(hits: DataFrame, group: str) -> DataFrame:
+    """Number of query terms in each page and the sum of their counts."""
+    return hits.groupBy(group, "page_id").agg(F.count("*").alias("matched"), F.sum("tf").alias("tf_sum"))
+
+
 def _rank_with_hot_terms(query_terms: DataFrame, read: DataFrame, hot: DataFrame, limit: int) -> DataFrame:
     """Scores of every page that can be among the best ``limit`` of a query.
 
@@ -141,7 +157,7 @@ def _rank_with_hot_terms(query_terms: DataFrame, read: DataFrame, hot: DataFrame
     hot_read = read.join(hot, "term", "left_semi")
     rare_read = read.join(hot, "term", "left_anti")
 
-    rare_hits = rare_terms.join(rare_read, "term").select("query_id", "page_id", "tf")
+    rare_hits = _meet(rare_terms, rare_read).select("query_id", "page_id", "tf")
     hot_of_rare = (
         rare_hits.select("query_id", "page_id")
         .distinct()
@@ -149,11 +165,7 @@ def _rank_with_hot_terms(query_terms: DataFrame, read: DataFrame, hot: DataFrame
         .join(hot_read, ["page_id", "term"])
         .select("query_id", "page_id", "tf")
     )
-    with_rare = (
-        rare_hits.unionByName(hot_of_rare)
-        .groupBy("query_id", "page_id")
-        .agg(F.count("*").alias("matched"), F.sum("tf").alias("tf_sum"))
-    )
+    with_rare = _score(rare_hits.unionByName(hot_of_rare), "query_id")
 
     sets = hot_terms.groupBy("query_id").agg(F.sort_array(F.collect_set("term")).alias("set_terms"))
     sets = sets.withColumn("set_key", F.array_join("set_terms", " "))
@@ -162,11 +174,7 @@ def _rank_with_hot_terms(query_terms: DataFrame, read: DataFrame, hot: DataFrame
         .agg(F.first("set_terms").alias("set_terms"))
         .select("set_key", F.explode("set_terms").alias("term"))
     )
-    set_hits = (
-        set_terms.join(hot_read, "term")
-        .groupBy("set_key", "page_id")
-        .agg(F.count("*").alias("matched"), F.sum("tf").alias("tf_sum"))
-    )
+    set_hits = _score(set_terms.join(hot_read, "term"), "set_key")
     only_hot = (
         sets.select("query_id", "set_key")
         .join(_best_pages(set_hits, "set_key", limit), "set_key")
@@ -234,11 +242,14 @@ def scored_passages(
     """Every passage of every candidate page with its similarity to the claim:
     ``(claim_id, page_id, page_rank, chunk_no, text, similarity)``."""
     pairs = _candidate_rows(claims, candidates, pages, size, text)
-    return (
-        pairs.select("claim_id", "page_id", "page_rank", "profile", F.posexplode("chunks").alias("chunk_no", "text"))
-        .withColumn("similarity", profile_cosine(F.col("profile"), F.col("text")))
-        .drop("profile")
+    # Compared inside the array: a later filter on the similarity cannot repeat the comparison.
+    compared = F.transform(
+        "chunks",
+        lambda passage, i: F.struct(
+            i.alias("chunk_no"), passage.alias("text"), profile_cosine(F.col("profile"), passage).alias("similarity")
+        ),
     )
+    return pairs.select("claim_id", "page_id", "page_rank", F.inline(compared))
 
 
 def similar_passages(scored: DataFrame, threshold: float = MIN_SIMILARITY) -> DataFrame:
@@ -265,8 +276,12 @@ def _candidate_rows(claims, candidates, pages, size, text) -> DataFrame:
     cut_pages = pages.join(used, "page_id", "left_semi").select(
         "page_id", tx.chunks(F.col(text), size).alias("chunks")
     )
-    profiles = claims.select("claim_id", *[c for c in ("k",) if c in claims.columns],
-                             term_profile(F.col("claim")).alias("profile"))
+    # Few bytes of claims stand for much work, so they are spread by number, not by size.
+    # A sort-merge join on the id uses the same partitioning.
+    spread = claims.repartition(width(claims.sparkSession), "claim_id")
+    profiles = spread.select(
+        "claim_id", *[c for c in ("k",) if c in claims.columns], term_profile(F.col("claim")).alias("profile")
+    )
     return profiles.join(candidates, "claim_id").join(cut_pages, "page_id")
 
 
@@ -365,7 +380,7 @@ def retrieve(
     """
     index = index if index is not None else postings(pages, text)
     distinct = claims.groupBy("claim").agg(F.min("claim_id").alias("claim_id"))
-    scored = cut(keyword_queries(with_budget(distinct, hedge, vague, k_min, k_max), stopwords), spread=True)
+    scored = cut(keyword_queries(with_budget(distinct, hedge, vague, k_min, k_max), stopwords))
 
     search = {"limit": limit, "hot_pages": hot_pages, "buckets": buckets}
     found = cut(search_pages(scored, index, **search).withColumn("used_fallback", F.lit(False)), spread=True)

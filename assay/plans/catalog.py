@@ -710,7 +710,7 @@ def _tfidf(train, *others, max_terms=2000):
     from pyspark.ml import Pipeline
 
     fitted = Pipeline(stages=ft.tfidf_stages(train, ft.TfidfOptions(max_terms=max_terms))).fit(train)
-    return [fitted.transform(t).select("claim_id", "label", "tfidf") for t in (train, *others)]
+    return [cut(fitted.transform(t).select("claim_id", "label", "tfidf")) for t in (train, *others)]
 
 
 @query

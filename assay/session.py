@@ -50,6 +50,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def width(spark: SparkSession) -> int:
+    """Number of shuffle partitions of the session."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -60,6 +65,6 @@ def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    rows = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else df
+    rows = df.repartition(width(spark)) if spread else df
     rows.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

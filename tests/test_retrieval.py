@@ -3,7 +3,6 @@ import re
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
 
 from assay.functions.uncertainty import with_budget
 from assay.operators import retrieval as rt
@@ -169,4 +168,14 @@ def test_index_counts_inside_the_row(spark):
     index = rt.postings(pages)
     assert sorted(map(tuple, index.collect())) == [("ab", 1, 2), ("ab_c", 1, 1), ("é1", 1, 2)]
     assert "Exchange" not in index._jdf.queryExecution().toString()
-    assert F is not None
+
+
+@pytest.mark.parametrize("hot_pages", [3, 10**9])
+def test_shuffled_postings_give_the_same(monkeypatch, small_corpus, hot_pages):
+    """Without the broadcast of postings."""
+    queries, pages, raw_queries, raw_pages = small_corpus
+    monkeypatch.setattr(rt, "BROADCAST_POSTINGS", 0)
+    got = rt.search_pages(queries, rt.postings(pages), hot_pages=hot_pages)
+    assert sorted((r.claim_id, r.page_id, r.matched, r.tf_sum, r.page_rank) for r in got.collect()) == brute_force_search(
+        raw_queries, raw_pages, 10
+    )

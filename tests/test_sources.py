@@ -5,7 +5,9 @@ import tempfile
 import pytest
 
 from assay.sources import claims as cl
+from assay.session import scratch_path
 from assay.sources import fever as fv
+from assay.sources import results as rs
 
 
 def write(lines, name="part.txt", folder=None):
@@ -82,3 +84,16 @@ def test_sentence_table(spark):
     write([json.dumps({"id": "T", "lines": "1\tnew page"})], "wiki-002.jsonl", folder)
     got = sorted(map(tuple, fv.sentence_table(fv.scan_pages(spark, folder)).collect()))
     assert got == [("T", 1, "new page"), ("U", 0, "second"), ("U", 3, "third")]
+
+
+def test_exports(spark):
+    rows = spark.createDataFrame([("lr", 0.5, 0.25), ("net", 0.75, 0.5)], "model string, test_acc double, test_f1_macro double")
+    flat = rs.summary(baseline=rows.where("model = 'lr'"), main=rows.where("model = 'net'"))
+    assert sorted(map(tuple, flat.collect())) == [("lr", "baseline", "0.5000", "0.2500"), ("net", "main", "0.7500", "0.5000")]
+    path = scratch_path(spark, "nested")
+    rs.export_nested({"baselines": rows, "robustness": rows.select("model")}, path)
+    row = spark.read.json(path).first()
+    assert [r.model for r in row.baselines] == ["lr", "net"] and len(row.robustness) == 2 and row.timestamp
+    path = scratch_path(spark, "report")
+    rs.write_report(rows, path)
+    assert spark.read.option("header", True).csv(path).count() == 2
