@@ -36,3 +36,46 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     from assay.llm.packing import pack_documents
 
     return pack_documents(table(spark, folder, "documents"))
+
+
+@query
+def op2_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.fingerprints import compare_with_edits
+
+    return compare_with_edits(table(spark, folder, "documents"))
+
+
+# (verdict, host, path) of the rules that the pages are judged by.
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
+
+@query
+def op4_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.url_rules import judge, rule_table
+
+    return judge(table(spark, folder, "pages"), rule_table(spark, URL_RULES))
+
+
+@query
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.warc import read_bundles, records, write_bundles
+
+    path = scratch_path(spark, "bundles")
+    index = write_bundles(records(table(spark, folder, "pages")), path)
+    return read_bundles(spark, path, index).drop("url")
+
+
+@query
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.quality import judged
+
+    return judged(table(spark, folder, "documents"), carry=["doc_id"])
+
+
+@query
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.simhash import linked_components
+
+    return linked_components(table(spark, folder, "documents"), distance=4, shingle_words=4)

@@ -1,3 +1,36 @@
 """SQL statements with the same results as the queries, where SQL can state them."""
 
-ORACLE: dict[str, str] = {}
+from assay.llm.catalog import URL_RULES
+
+_RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), w -> w <> '')"
+
+ORACLE: dict[str, str] = {
+    "op4_url_filters": rf"""
+        WITH rules(verdict, host, path) AS (VALUES {_RULES}),
+        cut AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ),
+        parts AS (
+            SELECT row_number() OVER () AS n, page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM cut
+        ),
+        fits AS (
+            SELECT p.n, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY p.n ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS place
+            FROM parts p JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path)
+        )
+        SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+        FROM parts p LEFT JOIN fits f ON f.n = p.n AND f.place = 1
+    """,
+    "op9_warc": """
+        WITH rows AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        facts AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM rows),
+        firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM facts)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM firsts
+    """,
+}
