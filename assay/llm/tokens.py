@@ -8,6 +8,7 @@ and never changes a result.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -15,9 +16,17 @@ import numpy as np
 # Chunks whose ids a worker keeps, and the longest chunk that is kept.
 KEPT_CHUNKS, KEPT_BYTES = 400_000, 64
 
+# Byte-level vocabularies write printable bytes as themselves and the others as characters from U+0100 on, in order.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(0x100 + i) for i, b in enumerate(sorted({*range(256)}.difference(_PRINTED)))}
+
 _ENCODERS: dict[str, "ChunkEncoder"] = {}
 
 
+# Characters whose normal form, lower case and class are beyond doubt; other chunks go through the whole tokenizer.
+_SIMPLE = re.compile("[\x21-\x7e\xa1-\u024f]*")
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -27,23 +36,52 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.split = self._splitter(path)
+
+    @staticmethod
+    def _splitter(path: str):
+        """The pre-tokens of a simple chunk, if the file lower-cases, splits by one pattern and maps bytes to characters."""
+        import json
+
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        steps = [x["type"] for x in (parts.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+            return None
+        if cuts[0]["behavior"] != "Removed" or not cuts[0]["invert"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"]:
+            return None
+        import regex
+
+        return regex.compile(cuts[0]["pattern"]["Regex"]).findall
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            plain = piece if piece.isascii() else "".join(_BYTE_CHARS[b] for b in piece.encode())
+            found = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
+        return found
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.split and _SIMPLE.fullmatch(text) and "<|" not in text:
+            return b"".join([self._piece(p) for p in self.split(text.lower())])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens of the tokenizer's own."""
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
-        chunks = [(t or "").encode().split() for t in texts]  # bytes.split() knows ASCII white space only
         kept, out = self.kept, []
-        for group in chunks:
-            new = list(set(group).difference(kept))
-            ids = kept
-            if new:
-                found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-                fresh = {c: array("I", e.ids).tobytes() for c, e in zip(new, found)}
-                kept.update((c, v) for c, v in fresh.items() if len(c) <= KEPT_BYTES)
-                if any(len(c) > KEPT_BYTES for c in new):
-                    ids = {c: kept.get(c) or fresh.get(c, b"") for c in set(group)}
-            out.append(b"".join([ids[c] for c in group]))
+        for text in texts:
+            if len(kept) > KEPT_CHUNKS:
+                kept.clear()
+            if len(self.pieces) > KEPT_CHUNKS:
+                self.pieces.clear()
+            chunks = (text or "").encode().split()  # bytes.split() knows ASCII white space only
+            long = {}
+            for c in set(chunks).difference(kept):
+                (kept if len(c) <= KEPT_BYTES else long)[c] = self._chunk(c)
+            out.append(b"".join([kept[c] for c in chunks]) if not long else b"".join([kept[c] if c in kept else long[c] for c in chunks]))
         return out
 
 
