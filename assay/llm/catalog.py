@@ -79,3 +79,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from assay.llm.simhash import linked_components
 
     return linked_components(table(spark, folder, "documents"), distance=4, shingle_words=4)
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.suffix_dedup import removal_digests
+
+    return removal_digests(table(spark, folder, "documents"))
