@@ -86,3 +86,10 @@ def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from assay.llm.suffix_dedup import removal_digests
 
     return removal_digests(table(spark, folder, "documents"))
+
+
+@query
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.ctw import score_documents
+
+    return score_documents(table(spark, folder, "documents"))
