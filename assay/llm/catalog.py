@@ -93,3 +93,15 @@ def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     from assay.llm.ctw import score_documents
 
     return score_documents(table(spark, folder, "documents"))
+
+
+# Shares of all tokens that the mixed corpus should have.
+DOMAIN_WEIGHTS = {"good": 0.8, "poor": 0.2, "toxic": 0.0}
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.mixing import label_domains, mixing_rates
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return mixing_rates(docs, label_domains(labels), DOMAIN_WEIGHTS, carry=["doc_id"])
