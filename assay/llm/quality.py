@@ -23,8 +23,8 @@ MADE = {*COUNTS, "base_failed", "distance", "kept"}
 # Share of a group that the estimates rest on, number of concentration steps, smallest group with estimates of its own.
 CORE, STEPS, LEAST_ROWS = 0.75, 6, 200
 
-# Squared distances above this are outliers; 1e-12 of a normal group of five statistics lies beyond it.
-CUTOFF = 66.0
+# Squared distances above this are outliers; 1.5e-7 of a normal group of five statistics lies beyond it.
+CUTOFF = 40.0
 
 # Median of the chi-square distribution with five degrees of freedom (fixed value).
 CHI2_MEDIAN_5 = 4.351460191096
@@ -203,3 +203,9 @@ def judged(
     out = rows.join(limits, ["lang", "source"], "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.select("doc.*", *COUNTS, "base_failed", "distance", kept.alias("kept"))
+
+
+def without_rejected(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns whatever their names."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("document"), "text", "lang", "source")
+    return judged(whole, carry=["document"]).where("kept").select("document.*")

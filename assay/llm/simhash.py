@@ -25,6 +25,9 @@ from assay.session import cut
 BITS = 64
 SEED = 42
 
+# Bins of a min-hash signature.
+BINS = 256
+
 # Cost of a probe (a row to shuffle) in candidates to verify.
 PROBE_COST = 10
 
@@ -175,25 +178,29 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, distance: int) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct fingerprints ``fps`` that differ in at most ``distance`` bits, once each."""
+    """(a, b): all pairs of the distinct fingerprints ``fps`` that differ in at most ``distance`` bits, once each.
+
+    Of two fingerprints with different bits in a partition, the one with the smaller bits probes for the other.
+    """
     parts = plan(fps, distance)
     key = lambda mask: F.col("fp").bitwiseAND(F.lit(_signed(mask)))
     stored = fps.select(F.col("fp").alias("b"), F.explode(F.array(*[
         F.struct(F.lit(i).alias("part"), key(mask).alias("key")) for i, (mask, _) in enumerate(parts)
     ])).alias("k")).select("b", "k.part", "k.key")
 
-    def around_of(i: int, mask: int, t: int) -> Column:
+    def around(i: int, mask: int, t: int) -> Column:
         changes = F.array(*[F.lit(_signed(d)) for d in ball(mask, t)])
-        return F.transform(changes, lambda d: F.struct(F.lit(i).alias("part"), d.bitwiseXOR(key(mask)).alias("key")))
+        keys = F.filter(F.transform(changes, lambda d: d.bitwiseXOR(key(mask))), lambda k: k >= key(mask))
+        return F.transform(keys, lambda k: F.struct(F.lit(i).alias("part"), k.alias("key")))
 
-    around = [around_of(i, mask, t) for i, (mask, t) in enumerate(parts)]
-    probes = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*around)).alias("k")).select("a", "k.part", "k.key")
+    probes = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*[around(i, *p) for i, p in enumerate(parts)])).alias("k")).select("a", "k.part", "k.key")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    met = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance)
-    # A pair that meets in several partitions is kept in the first of them.
+    met = F.bit_count(differ) <= distance
+    # Equal bits of the partition: the pair meets from both sides, once counts.  Several partitions: the first counts.
     first = F.lit(True)
     for i, (mask, t) in enumerate(parts):
-        first = first & ((F.col("part") <= i) | (F.bit_count(differ.bitwiseAND(F.lit(_signed(mask)))) > t))
+        apart = F.bit_count(differ.bitwiseAND(F.lit(_signed(mask))))
+        first = first & ((F.col("part") < i) | ((F.col("part") == i) & ((apart > 0) | (F.col("a") < F.col("b")))) | ((F.col("part") > i) & (apart > t)))
     return probes.join(stored, ["part", "key"]).where(met & first).select("a", "b")
 
 
@@ -211,3 +218,65 @@ def linked_components(docs: DataFrame, distance: int = 4, shingle_words: int = 4
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     ids = cut(grouped.join(smallest, "root").select("fp", "component_id"))
     return rows.join(ids, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """A one-permutation min-hash of a shingle set: in each of ``BINS`` bins of the hashes, 16 bits of the smallest; 0: empty."""
+    out = np.zeros(BINS, "<u2")
+    if len(hashes):
+        h = np.sort(hashes.astype("u8") * np.uint64(0x9E3779B97F4A7C15))
+        bins = (h & np.uint64(BINS - 1)).astype("i8")
+        used, first = np.unique(bins, return_index=True)  # the first of a bin is its smallest
+        out[used] = np.maximum((h[first] >> np.uint64(16)).astype("<u2"), 1)
+    return out.tobytes()
+
+
+def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            part = batch.slice(at, 4096)
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("sig_a", "sig_b"))
+            either = ((x > 0) | (y > 0)).sum(axis=1)
+            same = ((x == y) & (x > 0)).sum(axis=1)
+            keep = pa.array((same >= similarity * either) | (either == 0))
+            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
+
+
+def without_near_copies(docs: DataFrame, distance: int = 12, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
+
+    Fingerprints within ``distance`` bits are candidates; they are links if the share of common shingles among all of both,
+    estimated from min-hash signatures (exact up to about a hundred shingles), is at least ``similarity``.  Groups are what
+    links connect.  A null doc_id comes after all others, equal ids in order of a digest of the text; of repeated rows one
+    stays.  Null and empty texts are copies of each other.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            hashes = [shingle_hashes(t, shingle_words) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("key"), pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([signature(h) for h in hashes], pa.binary())],
+                ["doc_id", "key", "fp", "sig"],
+            )
+
+    key = F.substring(F.unhex(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)), 1, 16)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = cut(texts.mapInArrow(make, "doc_id long, key binary, fp long, sig binary"))
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("key"))
+    nodes = cut(cut(rows.groupBy("fp", "sig").agg(F.min(order).alias("first"))).withColumn("node", F.monotonically_increasing_id()))
+    near = links(nodes.select("fp").distinct(), distance)
+    left = nodes.select(F.col("fp").alias("a_fp"), F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+    right = nodes.select(F.col("fp").alias("b_fp"), F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    met = near.withColumnsRenamed({"a": "a_fp", "b": "b_fp"}).join(left, "a_fp").join(right, "b_fp").select("a", "b", "sig_a", "sig_b")
+    equal = left.join(right, (F.col("a_fp") == F.col("b_fp")) & (F.col("a") < F.col("b"))).select("a", "b", "sig_a", "sig_b")
+    linked = met.union(equal).mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long")
+    roots = components(linked, "a", "b")
+    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = cut(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")))
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), key.alias("key"))
+    same = (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))
+    out = tagged.join(kept, same, "left_semi")
+    repeats = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    if repeats.limit(1).count():
+        out = out.join(repeats, same, "left_anti").union(out.join(repeats, same, "left_semi").dropDuplicates(["id", "key"]))
+    return out.select("doc.*")

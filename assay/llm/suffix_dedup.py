@@ -246,8 +246,10 @@ def _merge(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 
 def _with_spans(docs: DataFrame, length: int, carry: list[str]) -> DataFrame:
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.withColumn("key", digest(F.col("text"))).join(repeated_spans(docs, length), "key", "left").drop("key")
+    """(doc, text, spans) of every row: the ``carry`` columns as a struct, the text and its spans."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col("text").alias("text"))
+    keyed = rows.withColumn("key", digest(F.coalesce("text", F.lit(""))))
+    return keyed.join(repeated_spans(docs, length), "key", "left").drop("key")
 
 
 def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -257,7 +259,7 @@ def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for part in slices(batches):
             out = []
             for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                data, spans, h, at = text.encode(), _merge(found), hashlib.sha256(), 0
+                data, spans, h, at = (text or "").encode(), _merge(found), hashlib.sha256(), 0
                 for a, b in spans:
                     h.update(data[at:a])
                     at = b
@@ -278,21 +280,21 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     Where a cut would split a character, the whole character goes.  Null texts stay null, and repeated rows are cut alike.
     """
     columns = docs.columns
+    others = [c for c in columns if c != "text"]
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             texts = []
             for text, found in zip(part.column("text").to_pylist(), part.column("spans").to_pylist()):
-                data, at, kept = text.encode(), 0, []
-                for a, b in _merge(found):
-                    kept.append(data[at:a])
-                    at = b
-                texts.append(b"".join(x.decode(errors="ignore").encode() for x in [*kept, data[at:]]).decode() if found else text)
-            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts, pa.string())], ["doc", "new_text"])
-
-    rows = _with_spans(docs, length, columns)
-    schema = rows.select("doc", F.col("text").alias("new_text")).schema
-    out = rows.mapInArrow(strip, schema)
-    return out.select(*[
-        (F.when(F.col("doc.text").isNotNull(), F.col("new_text")) if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in columns
-    ])
+                if found and text:
+                    data, at, kept = text.encode(), 0, []
+                    for a, b in [*_merge(found), (len(data), len(data))]:
+                        kept.append(data[at:a].decode(errors="ignore"))
+                        at = b
+                    text = "".join(kept)
+                texts.append(text)
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts, pa.string())], ["doc", "text"])
+
+    rows = _with_spans(docs, length, others)
+    out = rows.mapInArrow(strip, rows.select("doc", "text").schema)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in columns])
