@@ -253,7 +253,8 @@ def _frequent(counts: DataFrame, most: int) -> int:
     return 0 if least == 0 else 1 << (least - 1)
 
 
-_TABLES: dict[str, object] = {}
+# The tables of the run that a worker is on: (kind, path) and the table.
+_TABLES: dict[str, tuple[str, object]] = {}
 
 
 def _read(path: str, columns: list[str]) -> pa.Table:
@@ -265,18 +266,22 @@ def _read(path: str, columns: list[str]) -> pa.Table:
     return pa.concat_tables([pq.read_table(n, columns=columns, filesystem=where) for n in names])
 
 
+def _kept(kind: str, path: str, make) -> object:
+    """A worker's table of a kind, read once; the one of an earlier run goes first."""
+    if _TABLES.get(kind, ("",))[0] != path:
+        _TABLES.pop(kind, None)
+        _TABLES[kind] = path, make(path)
+    return _TABLES[kind][1]
+
+
 def _pair_table(path: str) -> tuple[pd.Index, np.ndarray]:
-    if path not in _TABLES:
-        rows = _read(path, ["code", "score"])
-        _TABLES[path] = pd.Index(rows.column("code").to_numpy()), np.append(rows.column("score").to_numpy(), np.nan)
-    return _TABLES[path]
+    rows = _read(path, ["code", "score"])
+    return pd.Index(rows.column("code").to_numpy()), np.append(rows.column("score").to_numpy(), np.nan)
 
 
 def _word_table(path: str) -> dict[bytes, int]:
-    if path not in _TABLES:
-        rows = _read(path, ["word", "n"])
-        _TABLES[path] = dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
-    return _TABLES[path]
+    rows = _read(path, ["word", "n"])
+    return dict(zip(rows.column("word").to_pylist(), rows.column("n").to_pylist()))
 
 
 def _store(df: DataFrame, spark: SparkSession, name: str) -> str:
@@ -305,8 +310,8 @@ def score_documents(docs: DataFrame, table_pairs: int = TABLE_PAIRS, table_words
     scale = np.log10(total + 0.5 * (distinct + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, values = _pair_table(pair_path)
-        known = _word_table(word_path)
+        index, values = _kept("pairs", pair_path, _pair_table)
+        known = _kept("words", word_path, _word_table)
         for part in slices(batches):
             texts = [t.encode().lower() for t in part.column("text").to_pylist()]
             codes, starts, ends = pair_codes(texts)

@@ -170,7 +170,7 @@ def plan(fps: DataFrame, distance: int) -> list[tuple[int, int]]:
             row = [0.0]
             for t in range(min(distance, width) + 1):
                 probes = sum(comb(width, r) for r in range(t + 1))
-                row.append(max(agree.get(mask, 0), n * (n - 1) / 2 * share[0]) * share[t] / max(share[0], 1e-300) + PROBE_COST * n * (1 + probes))
+                row.append(max(agree.get(mask, 0), n * (n - 1) / 2 * share[0]) * share[t] / max(share[0], 1e-300) + PROBE_COST * max(n, 1) * (1 + probes))
             costs.append(row)
         cost, chosen = allocate(costs, distance + 1)
         choices.append((cost, [(mask, t) for mask, t in zip(way, chosen) if t >= 0]))

@@ -194,7 +194,9 @@ def repeated_windows(every: DataFrame, once: DataFrame, length: int = LENGTH, gr
     pieces = cut(_piece_rows(every, length, gram))
     shared = pieces.groupBy("h").agg(F.sum("n").alias("copies")).where("copies > 1").select("h")
     # A row per distinct place of a piece: copies of a text fall together before the shuffle.
-    places = cut(pieces.join(shared, "h").groupBy("h", "s", "key", "at", "windows").agg(F.sum("n").alias("n")))
+    # Dealt anew by all of it, so that adaptive execution can split the join at a hash with very many pieces.
+    place = ["h", "s", "key", "at", "windows"]
+    places = cut(pieces.join(shared, "h").repartition(*place).groupBy(*place).agg(F.sum("n").alias("n")))
     distinct = cut(places.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("key", "at", "windows")).alias("one")))
     size = F.col("one.windows") + (length - 1)
     totals = distinct.groupBy("h").agg(F.sum(size).alias("bytes"))
