@@ -25,8 +25,6 @@ MIN_SIMILARITY = 0.25
 FALLBACK_CHARS = 100
 # Posting lists longer than this are ranked once per set of such terms.
 HOT_TERM_PAGES = 100_000
-# Up to this many postings (some 100 MB) are sent to every task; more are shuffled.
-BROADCAST_POSTINGS = 1_000_000
 
 
 def keyword_queries(claims: DataFrame, stopwords: Sequence[str], top: int = 5) -> DataFrame:
@@ -122,12 +120,9 @@ def _meet(query_terms: DataFrame, read: DataFrame) -> DataFrame:
     """Postings of each query's terms, laid out by query.
 
     No term has more than the hot bound of pages here, so the rows of one query are
-    bounded.  Scoring and ranking both reuse the layout by query: the many rows
-    move once, or not at all when the postings are few enough to be broadcast.
+    bounded.  How they meet is left to adaptive execution, which knows both sides'
+    bytes; scoring and ranking both reuse the layout by query.
     """
-    if read.count() <= BROADCAST_POSTINGS:
-        laid_out = query_terms.repartition(width(read.sparkSession), "query_id")
-        return laid_out.join(F.broadcast(read), "term")
     return query_terms.join(read, "term").repartition("query_id")
 
 
@@ -375,8 +370,8 @@ def retrieve(
     n_passages, n_kept, used_fallback)``; ``n_kept`` counts the evidence passages.
 
     The result depends on the claim text alone, so copies of a claim are retrieved
-    once and joined back.  A claim without evidence keeps its row with an empty
-    list; the counts tell "nothing found" from "all filtered out".
+    once and joined back.  A claim without evidence, a null one too, keeps its row
+    with an empty list; the counts tell "nothing found" from "all filtered out".
     """
     index = index if index is not None else postings(pages, text)
     distinct = claims.groupBy("claim").agg(F.min("claim_id").alias("claim_id"))
@@ -404,6 +399,8 @@ def retrieve(
             F.coalesce("used_fallback", F.lit(False)).alias("used_fallback"),
         )
     )
-    return claims.select("claim_id", "claim").join(per_text, "claim").select(
+    asked = claims.select("claim_id", "claim").alias("asked")
+    joined = asked.join(per_text.withColumnRenamed("claim", "found_for"), F.expr("asked.claim <=> found_for"), "left")
+    return joined.select(
         "claim_id", "claim", "k_used", "passages", "n_candidates", "n_passages", "n_kept", "used_fallback"
     )

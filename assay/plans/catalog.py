@@ -746,7 +746,7 @@ def mlp_fit(spark, sf_dir):
 @query
 def model_selection(spark, sf_dir):
     """History of the validation search over iteration counts."""
-    rows = md.hash_split(_embeddings(spark, sf_dir).withColumn("label", F.col("label") % 2)).persist()
+    rows = cut(md.hash_split(_embeddings(spark, sf_dir).withColumn("label", F.col("label") % 2)))
     chosen = md.select_mlp(
         rows.where(F.col("fold") == "train"), rows.where(F.col("fold") == "val"), iterations=(3, 6, 12), hidden=md.HIDDEN_SMALL
     )
@@ -837,7 +837,7 @@ def stream_evidence(spark, sf_dir):
     arriving = v.probes(spark, sf_dir)
     late = arriving.where(uniform(F.lit("late"), F.col("claim_id")) < 0.5)
     for part in (late, arriving):
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.write.mode("append").parquet(folder)
         build_evidence_stream(
             read_claims(spark, folder, files_per_batch=1), v.corpus(spark, sf_dir), index, out, state,
             stopwords=v.STOPWORDS, hedge=v.HEDGE, vague=v.VAGUE, buckets=16,
@@ -858,10 +858,12 @@ def stream_fill_rate(spark, sf_dir):
     rows.repartitionByRange(4, "ingested_at").write.parquet(folder)
     stream = spark.readStream.schema(rows.schema).parquet(folder)
     started = (
-        fill_rate_stream(stream).writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        fill_rate_stream(stream).writeStream.outputMode("update")
+        .foreachBatch(lambda batch, i: batch.write.mode("overwrite").parquet(f"{out}/batch={i}"))
         .option("checkpointLocation", scratch_path(spark, "fill-state")).trigger(availableNow=True).start()
     )
     started.awaitTermination()
-    rows = spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    return _rounded(rows, "fill_rate")
+    # A batch writes the windows it changed; the last word on a window counts.
+    last = F.max_by(F.struct("n_claims", "n_filled", "fill_rate"), "batch").alias("last")
+    rows = spark.read.parquet(out).groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start")).agg(last)
+    return _rounded(rows.select("window_start", "last.*"), "fill_rate")

@@ -79,7 +79,7 @@ SHORT = """
 short_claims AS (
   SELECT conv_id * 1000 + turn AS claim_id, text AS claim, role AS speaker, NULL::VARCHAR AS subject FROM conversations
 )"""
-OWN_EVIDENCE = f"own_kept AS (SELECT claim_id, list_slice({chunks('claim')}, 1, 4) AS passages FROM labelled)"
+OWN_EVIDENCE = f"own_kept AS (SELECT claim_id, {chunks('claim')} AS passages FROM claims)"
 
 
 # --- Uncertainty -------------------------------------------------------------------------------

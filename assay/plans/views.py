@@ -119,10 +119,10 @@ def attack_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def own_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(claim_id, passages)``: up to four passages of every labelled document itself."""
+    """``(claim_id, passages)``: all passages of every document itself."""
     from assay.functions.text import chunks
 
-    return labelled(spark, sf_dir).select("claim_id", F.slice(chunks(F.col("claim")), 1, 4).alias("passages"))
+    return claims(spark, sf_dir).select("claim_id", chunks(F.col("claim")).alias("passages"))
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,8 +30,8 @@ def local_session(cores: int | str = "*", app: str = "assay", **extra: str) -> S
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a temporary folder is made and set on the context.
+    A cluster names it in ``spark.checkpoint.dir``.  Only in a local session, as in
+    tests, a temporary folder is made and set on the context where that is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -40,6 +40,8 @@ def scratch_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="assay-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

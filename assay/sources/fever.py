@@ -14,7 +14,7 @@ _PAGE_LINE = "id string, lines string"
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with ``line_key``, which orders them by file name, then position.
+    """Text lines with ``line_key``, which orders them by file path, then position.
 
     Rows of one file block lie in one partition in file order, so block start and
     the running id inside it give the order without a shuffle or a global count.
@@ -22,7 +22,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
         "value",
         F.struct(
-            F.col("_metadata.file_name").alias("file"),
+            F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("row"),
         ).alias("line_key"),

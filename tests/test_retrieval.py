@@ -171,11 +171,15 @@ def test_index_counts_inside_the_row(spark):
 
 
 @pytest.mark.parametrize("hot_pages", [3, 10**9])
-def test_shuffled_postings_give_the_same(monkeypatch, small_corpus, hot_pages):
-    """Without the broadcast of postings."""
+def test_shuffled_postings_give_the_same(spark, small_corpus, hot_pages):
+    """Without any broadcast."""
     queries, pages, raw_queries, raw_pages = small_corpus
-    monkeypatch.setattr(rt, "BROADCAST_POSTINGS", 0)
-    got = rt.search_pages(queries, rt.postings(pages), hot_pages=hot_pages)
-    assert sorted((r.claim_id, r.page_id, r.matched, r.tf_sum, r.page_rank) for r in got.collect()) == brute_force_search(
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rt.search_pages(queries, rt.postings(pages), hot_pages=hot_pages).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.claim_id, r.page_id, r.matched, r.tf_sum, r.page_rank) for r in got) == brute_force_search(
         raw_queries, raw_pages, 10
     )
