@@ -54,7 +54,7 @@ def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
     Both are compared up to the bound, or to where the one that reaches less far ends.  Two empty sketches are alike (1); an
     empty one and another are not (0).
     """
-    reach = lambda x: F.greatest(F.coalesce(F.array_max(x), F.lit(0)), F.lit(2**63 // scale - 1))
+    reach = lambda x: F.greatest(F.coalesce(F.array_max(x), F.lit(2**63 - 1)), F.lit(2**63 // scale - 1))
 
     def share(pair: Column) -> Column:
         smaller = F.least(F.size(pair.x), F.size(pair.y))
