@@ -109,8 +109,11 @@ def tfidf_stages(texts: DataFrame, options: TfidfOptions = TfidfOptions(), text:
 
     The vocabulary comes from the long form above, so ties are settled by term and
     the fit does not depend on the layout.  At most ``max_terms`` rows reach the
-    driver.  Vectors stay sparse and are made in the JVM.
+    driver.  Vectors stay sparse and are made in the JVM.  Damped counts
+    (``sublinear``) exist in the long form only and are refused here.
     """
+    if options.sublinear:
+        raise ValueError("the ML stages have plain counts; use tfidf(..., sublinear=True)")
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
     from pyspark.ml.linalg import Vectors
 

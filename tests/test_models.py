@@ -150,3 +150,10 @@ def test_model_text_takes_three_passages(spark):
     df = spark.createDataFrame([("c", ["a", "b", "d", "e"]), ("c", []), ("c", [" "])], "claim string, passages array<string>")
     got = [r.t for r in df.select(ft.model_text(F.col("claim"), F.col("passages")).alias("t")).collect()]
     assert got == ["c [SEP] a b d", "c", "c"]
+
+
+def test_ml_stages_refuse_damped_counts(spark):
+    from assay.operators.features import TfidfOptions, tfidf_stages
+
+    with pytest.raises(ValueError):
+        tfidf_stages(spark.createDataFrame([(1, "a b")], "claim_id long, text string"), TfidfOptions(sublinear=True))

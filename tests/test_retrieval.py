@@ -141,6 +141,13 @@ def test_fallback_hit_miss_and_all_filtered(spark):
     assert rows[15].passages == rows[10].passages
 
 
+def test_null_claims_keep_their_row(spark):
+    pages = spark.createDataFrame([(1, "the harbour office opened early")], "page_id long, extract string")
+    claims = spark.createDataFrame([(1, "in of and the is early"), (2, None), (3, None)], "claim_id long, claim string")
+    rows = {r.claim_id: r for r in rt.retrieve(claims, pages, stopwords=STOP).collect()}
+    assert sorted(rows) == [1, 2, 3] and rows[1].n_kept == 1 and rows[2].passages == [] == rows[3].passages
+
+
 def test_passages_cover_the_whole_text(spark):
     text = "  " + "\n".join("w%d" % i for i in range(250)) + " "
     pages = spark.createDataFrame([(1, text), (2, "  "), (3, "one")], "page_id long, extract string")
