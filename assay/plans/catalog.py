@@ -706,7 +706,7 @@ def _folds(spark, sf_dir):
     return split.where(F.col("fold") == "train").drop("fold"), split.where(F.col("fold") == "val").drop("fold")
 
 
-def _tfidf(train, *others, max_terms=2000):
+def _tfidf(train, *others, max_terms=ft.MAX_TERMS):
     from pyspark.ml import Pipeline
 
     fitted = Pipeline(stages=ft.tfidf_stages(train, ft.TfidfOptions(max_terms=max_terms))).fit(train)
@@ -716,21 +716,21 @@ def _tfidf(train, *others, max_terms=2000):
 @query
 def lr_fit(spark, sf_dir):
     train, val = _tfidf(*_folds(spark, sf_dir))
-    model = md.fit_logistic(train, max_iter=50)
+    model = md.fit_logistic(train)
     return md.probabilities(model, val, "tfidf").select("claim_id", "label", "p_fake", "p_real", "pred")
 
 
 @query
 def lr_balanced_fit(spark, sf_dir):
     train, val = _tfidf(*_folds(spark, sf_dir))
-    model = md.fit_logistic(train, c=1.0, max_iter=50, balance=True)
+    model = md.fit_logistic(train, c=1.0, balance=True)
     return md.probabilities(model, val, "tfidf").select("claim_id", "label", "p_fake", "p_real", "pred")
 
 
 @query
 def svm_fit(spark, sf_dir):
     train, val = _tfidf(*_folds(spark, sf_dir))
-    model = md.fit_calibrated_svm(train, max_iter=20, folds=3)
+    model = md.fit_calibrated_svm(train)
     return model.probabilities(val).select("claim_id", "label", "p_fake", "p_real", "pred")
 
 
@@ -739,7 +739,7 @@ def mlp_fit(spark, sf_dir):
     """Perceptron on the given dense vectors; even labels against odd ones."""
     rows = _embeddings(spark, sf_dir).withColumn("label", F.col("label") % 2)
     rows = md.hash_split(rows)
-    model = md.fit_mlp(rows.where(F.col("fold") == "train"), max_iter=15)
+    model = md.fit_mlp(rows.where(F.col("fold") == "train"))
     return md.probabilities(model, rows.where(F.col("fold") == "val"), "vector").select("claim_id", "label", "p_fake", "p_real", "pred")
 
 
@@ -748,7 +748,7 @@ def model_selection(spark, sf_dir):
     """History of the validation search over iteration counts."""
     rows = cut(md.hash_split(_embeddings(spark, sf_dir).withColumn("label", F.col("label") % 2)))
     chosen = md.select_mlp(
-        rows.where(F.col("fold") == "train"), rows.where(F.col("fold") == "val"), iterations=(3, 6, 12), hidden=md.HIDDEN_SMALL
+        rows.where(F.col("fold") == "train"), rows.where(F.col("fold") == "val"), hidden=md.HIDDEN_SMALL
     )
     return spark.createDataFrame(
         [{**h, "chosen": h["max_iter"] == chosen.max_iter} for h in chosen.history],
