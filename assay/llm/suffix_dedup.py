@@ -23,8 +23,8 @@ from assay.llm.common import slices
 from assay.llm.induced import END, repeated
 from assay.session import cut
 
-# Bytes that make a repetition, and the first inner string.
-LENGTH, GRAM = 400, 96
+# Bytes that make a repetition, and what part of them the first inner string has.
+LENGTH, GRAM_PART = 400, 4
 
 # Bytes of a shard on average, and of one hash's distinct pieces before the hash is split.
 SHARD_BYTES, HASH_BYTES = 3 << 20, 3 << 20
@@ -185,12 +185,13 @@ def _sorted_shard(length: int):
     return sort
 
 
-def repeated_windows(every: DataFrame, once: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hash_bytes: int = HASH_BYTES) -> DataFrame:
+def repeated_windows(every: DataFrame, once: DataFrame, length: int = LENGTH, gram: int | None = None, shard_bytes: int = SHARD_BYTES, hash_bytes: int = HASH_BYTES) -> DataFrame:
     """(key, runs): for each distinct text, the runs [a, b) of window starts that occur twice or more among all texts.
 
     ``every`` has key (a digest of the text), text (bytes) and n (how often it counts); ``once`` has at least one row per key
     with key and text.  Keys without such windows have no row.
     """
+    gram = gram or max(1, length // GRAM_PART)
     pieces = cut(_piece_rows(every, length, gram))
     shared = pieces.groupBy("h").agg(F.sum("n").alias("copies")).where("copies > 1").select("h")
     # A row per distinct place of a piece: copies of a text fall together before the shuffle.
