@@ -1,13 +1,14 @@
 """Soft-membership mixing: document rates whose expected token totals per domain match targets.
 
 A logistic classifier, fitted on a bounded sample of a labelled table, gives every document a probability for each domain.
-Rates r >= 0 then solve a least-squares problem by projected gradient steps,
+Rates r >= 0 then solve a least-squares problem,
 
     minimise  g' W g,   g_k = (sum over documents of r t p_k - target_k) / total tokens,
 
-with t a document's tokens and W the inverse of the second moments of p, which makes a full step safe.  From r = 1, every
-step is r <- max(0, r - p . W g).  A step needs the K sums of g only, and the rates follow from a document's own
-probabilities and the steps' K numbers, so nothing but sums leaves a task.
+with t a document's tokens and W the inverse of the second moments of p.  Of all rates with the least squares those nearest
+to 1 are r = max(0, 1 - p . h) for one vector h of K multipliers.  Newton steps find it, with a weight on the distance to 1
+that falls until the gradient over all documents shows that nothing is left to gain.  A step needs K and K * K sums only, and
+the rates follow from a document's own probabilities and h, so nothing but sums leaves a task.
 """
 
 from __future__ import annotations
@@ -28,8 +29,15 @@ FIT_ROWS = 20_000
 # Hashed features of a text, and the classifier's lasso penalty, which keeps the telling words only, and iterations.
 FEATURES, PENALTY, ITERATIONS = 1 << 15, 0.002, 60
 
-# Gradient steps at most, and the largest share of all tokens by which a total may miss its target.
-STEPS, TOLERANCE = 40, 1e-5
+# Largest share of all tokens by which a total may miss its target, or else the part of the least squares by which they may
+# be exceeded; both are proven by the gradient.
+TOLERANCE, EXCESS = 1e-5, 0.01
+
+# Step lengths that one pass tries, and the factor by which the weight on the distance to 1 falls.
+LENGTHS, FALL = (1.0, 0.5, 0.2, 0.05), 0.03
+
+# Passes after which the search is given up with an error; it takes some dozens.
+PASSES = 400
 
 DOMAINS = ("good", "poor", "toxic")
 
@@ -87,11 +95,62 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return rate
 
 
-def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
+def _multiplied(h: np.ndarray) -> Column:
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get("p", F.lit(k)) * float(x) for k, x in enumerate(h)), F.lit(0.0)))
+
+
+def _measure(scored: DataFrame, total: float, k: int, tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For the rates of each vector of multipliers: totals and second moments of the rows above zero, over ``total``, and the largest rate."""
+    rows = scored.where("n_tokens > 0").select(
+        (F.col("n_tokens") / total).alias("t"), *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(k)], *[_multiplied(h).alias(f"r{n}") for n, h in enumerate(tried)]
+    )
+    sums = []
+    for n in range(len(tried)):
+        sums += [F.expr(f"sum(t * r{n} * p{i})").alias(f"s{n}_{i}") for i in range(k)] + [F.expr(f"max(r{n})").alias(f"r{n}")]
+        sums += [F.expr(f"sum(if(r{n} > 0, t * p{i} * p{j}, 0))").alias(f"m{n}_{i}_{j}") for i in range(k) for j in range(i + 1)]
+    now = rows.agg(*sums).first()
+    return [
+        (np.array([now[f"s{n}_{i}"] for i in range(k)]), np.array([[now[f"m{n}_{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)]), now[f"r{n}"])
+        for n in range(len(tried))
+    ]
+
+
+def _multipliers(scored: DataFrame, total: float, target: np.ndarray, second: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The vector h of the least-squares rates, and the totals over ``total`` that they lead to.
+
+    For each weight eps the minimum of  g' W g / 2 + eps / 2 (sum of t (r - 1)^2)  has W g = eps h.  By convexity the squares exceed the
+    least ones by no more than the gradient allows: with the smallest p . W g of all documents, at least eps (1 - largest rate)
+    there, and the tokens of the optimum, at most sqrt(target' W target).
+    """
+    weight, k = np.linalg.inv(second), len(target)
+    size = np.sqrt(target @ weight @ target)
+    h, eps = np.zeros(k), 1.0
+    totals, moments, most = _measure(scored, total, k, [h])[0]
+    for _ in range(PASSES):
+        gap = totals - target
+        while True:
+            slope = eps * second @ h - gap
+            excess = max(0.0, weight @ gap @ totals) + max(0.0, eps * (most - 1) + np.abs(weight @ slope).max()) * size
+            if np.abs(gap).max() <= tolerance or excess <= max(EXCESS * (gap @ weight @ gap) / 2, (tolerance * size) ** 2 / 2):
+                return h, totals
+            if slope @ weight @ slope > (0.1 * eps) ** 2 * (h @ second @ h):
+                break
+            eps *= FALL
+        step = -np.linalg.solve(moments + eps * second, slope)
+        tried = [h + x * step for x in LENGTHS]
+        found = _measure(scored, total, k, tried)
+        # The slope along the step tells better than the value, whose digits cancel, how near its lowest point is.
+        best = min(range(len(tried)), key=lambda n: abs((eps * second @ tried[n] - found[n][0] + target) @ step))
+        h, (totals, moments, most) = tried[best], found[best]
+    raise RuntimeError(f"no least-squares rates after {PASSES} passes: {gap} from the targets, excess up to {excess}")
+
+
+def fit_rates(scored: DataFrame, targets: list[float], steps: int | None = None, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
     """The rate of a row of ``scored`` (n_tokens, p) as a column, and the token totals it leads to.
 
-    ``targets`` are tokens per domain.  Targets that no rates can reach are approached in the least-squares sense.  Without
-    tokens every rate is 1.
+    ``targets`` are tokens per domain.  Targets that no rates can reach are met in the least-squares sense, which may leave
+    few documents with high rates.  With ``steps``, so many plain gradient steps from 1 are taken in place of that, less if
+    all targets are met.  Without tokens every rate is 1.
     """
     k = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(k)]
@@ -100,8 +159,11 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int = STEPS, toler
     total = moments.t or 0.0
     if not total:
         return F.lit(1.0), [0.0] * k
-    second = np.array([[moments[f"m{i}{j}"] / total for j in range(k)] for i in range(k)])
-    weight = np.linalg.inv(second + 1e-6 * np.eye(k))
+    second = np.array([[moments[f"m{i}{j}"] / total for j in range(k)] for i in range(k)]) + 1e-6 * np.eye(k)
+    if steps is None:
+        h, totals = _multipliers(scored, total, np.array(targets) / total, second, tolerance)
+        return _multiplied(h), list(totals * total)
+    weight = np.linalg.inv(second)
     taken: list[np.ndarray] = []
     while True:
         rate = _rate(taken)

@@ -190,6 +190,24 @@ def test_rates_follow_the_gradient_steps(spark):
     assert np.allclose(totals, (p * (t * r)[:, None]).sum(0)) and (r == 0).any()
 
 
+@pytest.mark.parametrize("targets", [[0.9, 0.0, 0.2], [0.8, 0.2, 0.0], [0.3, 0.3, 0.4]])
+def test_rates_minimise_the_squares(spark, targets):
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([1, 1, 1], 300)
+    t = rng.integers(1, 100, 300)
+    scored = spark.createDataFrame([(int(a), list(map(float, b))) for a, b in zip(t, p)], "n_tokens long, p array<double>")
+    targets = np.array(targets) * t.sum()
+    rate, totals = fit_rates(scored, list(targets))
+    second = (p * t[:, None]).T @ p / t.sum()
+    w, r = np.linalg.inv(second + 1e-6 * np.eye(3)), np.ones(300)
+    for _ in range(20_000):
+        r = np.maximum(0, r - p @ (w @ ((p * (t * r)[:, None]).sum(0) - targets) / t.sum()))
+    value = lambda total: (g := (np.array(total) - targets) / t.sum()) @ w @ g
+    assert value(totals) < value((p * (t * r)[:, None]).sum(0)) * 1.01 + 1e-9
+    rates = np.array([x.r for x in scored.select(rate.alias("r")).collect()])
+    assert (rates >= 0).all() and np.allclose((p * (t * rates)[:, None]).sum(0), totals)
+
+
 def test_unwanted_domain_goes(spark):
     docs, labels = labelled(spark)
     kept = without_domain(docs, label_domains(labels))
