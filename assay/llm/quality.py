@@ -23,6 +23,9 @@ MADE = {*COUNTS, "base_failed", "distance", "kept"}
 # Share of a group that the estimates rest on, number of concentration steps, smallest group with estimates of its own.
 CORE, STEPS, LEAST_ROWS = 0.75, 6, 200
 
+# Name of the pool of all sources of a language, and of the language of a pool of all languages; others are empty or start with "=".
+EVERY = "*"
+
 # Squared distances above this are outliers; 1.5e-7 of a normal group of five statistics lies beyond it.
 CUTOFF = 40.0
 
@@ -181,10 +184,11 @@ def judged(
     """The ``carry`` columns of ``docs`` (all by default), the counts, ``base_failed``, ``distance`` (squared) and ``kept``.
 
     A document is kept if it passes the base rule and its distance is at most ``cutoff``.  Estimates come from documents
-    that pass the base rule.  Null languages and sources count as values of their own; sources with fewer than
-    ``least_rows`` such documents are pooled within their language, and documents of a pool that is still smaller are kept
-    by the base rule alone (null ``distance``).  Null text counts as empty.  Repeated rows are judged one by one.  Columns
-    of ``docs`` that carry a name made here are replaced; an empty table gives no rows.
+    that pass the base rule.  Null languages and sources count as values of their own.  Sources with fewer than ``least_rows``
+    such documents are pooled within their language; if that pool is still smaller, they are judged by all documents of the
+    language, and if those are too few, by all of the table.  Only in a table with fewer than ``least_rows`` of them in all
+    there is nothing to judge by, and the base rule alone holds (null ``distance``).  Null text counts as empty.  Repeated rows
+    are judged one by one.  Columns of ``docs`` that carry a name made here are replaced; an empty table gives no rows.
     """
     own = [c for c in carry or docs.columns if c not in MADE]
     known = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
@@ -193,13 +197,26 @@ def judged(
     )).drop("text"))
     passed = rows.where(~F.col("base_failed")).select("lang", "source", *STATS)
     sizes = passed.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    by_pool, by_lang = Window.partitionBy("lang", "pool"), Window.partitionBy("lang")
     pools = cut(
         sizes.withColumn("pool", F.when(F.col("n") >= least_rows, F.concat(F.lit("="), "source")).otherwise(F.lit("")))
-        .withColumn("m", F.sum("n").over(Window.partitionBy("lang", "pool"))).where(F.col("m") >= least_rows).select("lang", "source", "pool")
+        .withColumns({"m": F.sum("n").over(by_pool), "of_lang": F.sum("n").over(by_lang)})
+        .crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("of_all"))))
+        .where(F.col("of_all") >= least_rows)
+        .select(
+            "lang", "source",
+            F.when((F.col("m") < least_rows) & (F.col("of_lang") < least_rows), F.lit(EVERY)).otherwise(F.col("lang")).alias("pool_lang"),
+            F.when(F.col("m") >= least_rows, F.col("pool")).otherwise(F.lit(EVERY)).alias("pool"),
+        )
     )
-    stats = cut(passed.join(pools, ["lang", "source"]).select("lang", "pool", *STATS))
-    groups = robust_estimates(stats, core, steps)
-    limits = cut(pools.join(groups, ["lang", "pool"]).drop("pool"))
+    # A document counts in its own pool, and in those over whole languages and the whole table that some source needs.
+    wanted = [F.struct(F.col("pool_lang").alias("lang"), F.col("pool").alias("pool")), F.struct("lang", F.lit(EVERY).alias("pool")), F.struct(F.lit(EVERY).alias("lang"), F.lit(EVERY).alias("pool"))]
+    members = pools.select(F.col("lang").alias("of"), "source", F.explode(F.array_distinct(F.array(*wanted))).alias("in")).select("of", "source", "in.lang", "in.pool")
+    used = pools.select(F.col("pool_lang").alias("lang"), "pool").distinct()
+    members = cut(members.join(used, ["lang", "pool"], "left_semi").withColumnRenamed("lang", "pool_lang").withColumnRenamed("of", "lang"))
+    stats = cut(passed.join(members, ["lang", "source"]).select(F.col("pool_lang").alias("lang"), "pool", *STATS))
+    groups = robust_estimates(stats, core, steps).withColumnRenamed("lang", "pool_lang")
+    limits = cut(pools.join(groups, ["pool_lang", "pool"]).drop("pool", "pool_lang"))
     out = rows.join(limits, ["lang", "source"], "left").withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
     return out.select("doc.*", *COUNTS, "base_failed", "distance", kept.alias("kept"))

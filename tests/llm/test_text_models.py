@@ -132,6 +132,21 @@ def test_outliers_are_found(spark):
     assert got == {i: i % 10 > 0 for i in range(1200)}
 
 
+def test_rare_languages_and_sources_are_judged(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 9))) for _ in range(2000)]
+    rows = []
+    for i in range(800):
+        words = list(rng.choice(vocabulary, rng.integers(60, 300)))
+        if i % 20 == 0:
+            words = [w + "$$$" for w in words]
+        # a language of 100 rows, one large source, and a source of 100 rows in the large language
+        rows.append((i, " ".join(words), "fr" if i < 100 else "en", "s1" if i < 200 else "s0"))
+    got = {r.doc_id: (r.kept, r.distance) for r in judged(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {i: i % 20 > 0 for i in range(800)}
+    assert all(d is not None for _, d in got.values())
+
+
 def test_estimates_match_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 5)) @ np.diag([0.5, 1, 1, 0.7, 0.6])
