@@ -10,6 +10,7 @@ verified on all 64 bits.  Only distinct fingerprints take part, so exact copies
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import combinations
 from math import comb
 
@@ -25,8 +26,11 @@ from assay.session import cut
 BITS = 64
 SEED = 42
 
-# Bins of a min-hash signature.
-BINS = 256
+# Bins of a min-hash signature, and the standard deviations below the wanted similarity at which a pair is dropped by it.
+BINS, MARGIN = 256, 4.0
+
+# Bands of min-hashes, and rows of each: a pair at similarity 0.8 has no band in common in (1 - 0.8 ** 8) ** 32 = 0.3 % of cases.
+BANDS, BAND_ROWS = 32, 8
 
 # Cost of a probe (a row to shuffle) in candidates to verify.
 PROBE_COST = 10
@@ -231,45 +235,82 @@ def signature(hashes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def bands(hashes: list[np.ndarray]) -> np.ndarray:
+    """``BANDS`` numbers for each of several shingle sets, each a mix of ``BAND_ROWS`` min-hashes; zeros for empty sets."""
+    out = np.zeros((len(hashes), BANDS), "u8")
+    some = [i for i, h in enumerate(hashes) if len(h)]
+    if some:
+        flat = np.concatenate([hashes[i] for i in some]).astype("u8")
+        starts = np.concatenate([[0], np.cumsum([len(hashes[i]) for i in some])[:-1]])
+        factors = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, BAND_ROWS, 2), "u8") * np.uint64(2) + np.uint64(1)
+        for k in range(BANDS):
+            mixed = np.zeros(len(some), "u8")
+            for factor, mix in factors[k]:
+                mixed = (mixed ^ np.minimum.reduceat(flat * factor, starts)) * mix
+            out[some, k] = mixed ^ (mixed >> np.uint64(31))
+    return out.view("i8")
+
+
 def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures don't speak against the similarity."""
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("sig_a", "sig_b"))
             either = ((x > 0) | (y > 0)).sum(axis=1)
             same = ((x == y) & (x > 0)).sum(axis=1)
-            keep = pa.array((same >= similarity * either) | (either == 0))
+            keep = pa.array(same >= similarity * either - MARGIN * np.sqrt(similarity * (1 - similarity) * either) - 1e-9)
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
 
 def without_near_copies(docs: DataFrame, distance: int = 12, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
 
-    Fingerprints within ``distance`` bits are candidates; they are links if the share of common shingles among all of both,
-    estimated from min-hash signatures (exact up to about a hundred shingles), is at least ``similarity``.  Groups are what
-    links connect.  A null doc_id comes after all others, equal ids in order of a digest of the text; of repeated rows one
+    Candidates are fingerprints within ``distance`` bits, and shingle sets with a band of min-hashes in common.  They are links
+    if the share of common distinct shingles among all of both, counted on the whole sets, is at least ``similarity``; min-hash
+    signatures only drop pairs far below it before that.  Groups are what links connect.  A null doc_id comes after all others, equal ids in order of a digest of the text; of repeated rows one
     stays.  Null and empty texts are copies of each other.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             hashes = [shingle_hashes(t, shingle_words) for t in part.column("text").to_pylist()]
+            sets = [np.unique(h) for h in hashes]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("key"), pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([signature(h) for h in hashes], pa.binary())],
-                ["doc_id", "key", "fp", "sig"],
+                [
+                    part.column("doc_id"), part.column("key"), pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([signature(h) for h in hashes], pa.binary()),
+                    pa.array([sha256(h.tobytes()).digest()[:16] for h in sets], pa.binary()), pa.array(list(bands(sets)), pa.list_(pa.int64())),
+                ],
+                ["doc_id", "key", "fp", "sig", "set", "bands"],
             )
 
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [np.unique(shingle_hashes(t, shingle_words)).astype("u8").view("i8") for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
     key = F.substring(F.unhex(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)), 1, 16)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(texts.mapInArrow(make, "doc_id long, key binary, fp long, sig binary"))
+    rows = cut(texts.mapInArrow(make, "doc_id long, key binary, fp long, sig binary, set binary, bands array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("key"))
-    nodes = cut(cut(rows.groupBy("fp", "sig").agg(F.min(order).alias("first"))).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(cut(rows.groupBy("fp", "set").agg(F.min(order).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))).withColumn("node", F.monotonically_increasing_id()))
     near = links(nodes.select("fp").distinct(), distance)
     left = nodes.select(F.col("fp").alias("a_fp"), F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     right = nodes.select(F.col("fp").alias("b_fp"), F.col("node").alias("b"), F.col("sig").alias("sig_b"))
     met = near.withColumnsRenamed({"a": "a_fp", "b": "b_fp"}).join(left, "a_fp").join(right, "b_fp").select("a", "b", "sig_a", "sig_b")
     equal = left.join(right, (F.col("a_fp") == F.col("b_fp")) & (F.col("a") < F.col("b"))).select("a", "b", "sig_a", "sig_b")
-    linked = met.union(equal).mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long")
+    banded = nodes.select("node", "sig", F.posexplode("bands").alias("band", "value"))
+    other = banded.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), "band", "value")
+    shared = banded.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), "band", "value").join(other, ["band", "value"]).where("a < b")
+    pairs = met.union(equal).union(shared.select("a", "b", "sig_a", "sig_b")).mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # Whole shingle sets of the documents that pairs name, one document for each node.
+    named = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first.doc_id").alias("named_id"), F.col("first.key").alias("named_key"))
+    sources = texts.join(named, (F.col("key") == F.col("named_key")) & F.col("doc_id").eqNullSafe(F.col("named_id"))).select("node", "text")
+    sets = cut(sources.dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles array<long>"))
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+    common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+    linked = both.select("a", "b", common.alias("common"), sizes.alias("sizes")).where(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9)
     roots = components(linked, "a", "b")
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = cut(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")))

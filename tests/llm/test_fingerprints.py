@@ -91,6 +91,26 @@ def test_one_of_each_group_stays(spark):
     assert all(i in ids for i in range(16, 40))
 
 
+@pytest.mark.parametrize("n", [100, 400])
+def test_near_copies_by_exact_similarity(spark, n):
+    """Pairs closely above and below the similarity: above, one of the two goes; below, both stay."""
+    texts, similar = [], []
+    for i in range(150):
+        words = [f"d{i}w{k}" for k in range(n)]
+        whole = {tuple(words[k : k + 5]) for k in range(n - 4)}
+        drop = next(d for d in range(n) if len(whole) - d <= len(whole) * (0.8 if i % 2 else 0.785))
+        cut_off = words[: n - drop + (i % 2)]  # a prefix: its shingles are a part of the whole
+        texts += [" ".join(words), " ".join(cut_off)]
+        similar.append((len(cut_off) - 4) / (n - 4) >= 0.8)
+    assert 0 < sum(similar) < len(similar)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = {r.doc_id for r in without_near_copies(docs).select("doc_id").collect()}
+    assert all(2 * i in ids for i in range(150))
+    wrong = [i for i in range(150) if not similar[i] and 2 * i + 1 not in ids]
+    missed = [i for i in range(150) if similar[i] and 2 * i + 1 in ids]
+    assert not wrong and len(missed) <= 2
+
+
 def test_edits_and_next_documents(spark):
     docs = odd_documents(spark)
     got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in compare_with_edits(docs).collect())
