@@ -762,48 +762,42 @@ def _verifier_inputs(spark, sf_dir):
     return (*parts, v.own_evidence(spark, sf_dir), v.lexicon(spark))
 
 
-def _quick():
-    from assay.plans.training import VerifierOptions
-
-    return VerifierOptions(max_terms=2000, iterations=(5,), hidden=(32, 16), lr_iterations=30)
-
-
 @query
 def verifier_fit(spark, sf_dir):
     """End to end: fit, save, load, predict on the test split."""
-    from assay.plans.training import Verifier, fit_verifier
+    from assay.plans.training import Verifier, VerifierOptions, fit_verifier
 
     train, val, test, evidence, lexicon = _verifier_inputs(spark, sf_dir)
     path = scratch_path(spark, "verifier")
-    fit_verifier(train, val, _quick(), evidence, lexicon).save(path)
+    fit_verifier(train, val, VerifierOptions(), evidence, lexicon).save(path)
     return Verifier.load(path).predict(test, evidence).select("claim_id", "label", "evidence_mode", "p_fake", "p_real", "pred")
 
 
 @query
 def ablation_matrix(spark, sf_dir):
-    from assay.plans.experiments import ABLATIONS, ablations
+    from assay.plans.experiments import ABLATIONS, SEEDS, ablations
+    from assay.plans.training import VerifierOptions
 
     train, val, test, evidence, lexicon = _verifier_inputs(spark, sf_dir)
-    chosen = {name: ABLATIONS[name] for name in ("full", "no_ensemble")}
-    return ablations(train, val, test, evidence, lexicon, chosen, seeds=(42,), base=_quick())
+    return ablations(train, val, test, evidence, lexicon, ABLATIONS, seeds=SEEDS, base=VerifierOptions())
 
 
 @query
 def baseline_runs(spark, sf_dir):
-    from assay.plans.experiments import baselines
+    from assay.plans.experiments import SEEDS, baselines
 
     train, val, test, _, _ = _verifier_inputs(spark, sf_dir)
-    return baselines(train, val, test, seeds=(42,), max_terms=2000, iterations=(5,), lr_iterations=30)
+    return baselines(train, val, test, seeds=SEEDS)
 
 
 @query
 def robustness_run(spark, sf_dir):
     """A fitted verifier on clean and attacked test claims."""
     from assay.plans.experiments import attack_predictions, robustness
-    from assay.plans.training import fit_verifier
+    from assay.plans.training import VerifierOptions, fit_verifier
 
     train, val, test, evidence, lexicon = _verifier_inputs(spark, sf_dir)
-    verifier = fit_verifier(train, val, _quick(), evidence, lexicon)
+    verifier = fit_verifier(train, val, VerifierOptions(), evidence, lexicon)
     return robustness(attack_predictions(verifier, test, lexicon, evidence, "same"))
 
 

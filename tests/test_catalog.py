@@ -27,3 +27,35 @@ def test_statements_belong_to_queries():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_experiments_are_registered_whole(spark, monkeypatch):
+    """All configurations, seeds and published settings reach the jobs behind the queries; no model is fitted here."""
+    from assay.plans import catalog, experiments, training
+
+    seen = {}
+
+    class Reached(Exception):
+        pass
+
+    def catch(name):
+        def job(*args, **named):
+            seen[name] = args[3:], named
+            raise Reached
+
+        return job
+
+    monkeypatch.setattr(catalog, "_verifier_inputs", lambda *_: (None,) * 5)
+    monkeypatch.setattr(experiments, "ablations", catch("ablation_matrix"))
+    monkeypatch.setattr(experiments, "baselines", catch("baseline_runs"))
+    for name in ("ablation_matrix", "baseline_runs"):
+        with pytest.raises(Reached):
+            OWN[name](spark, "unused")
+    (_, _, configs), rest = seen["ablation_matrix"]
+    assert configs == experiments.ABLATIONS and rest == {"seeds": experiments.SEEDS, "base": training.VerifierOptions()}
+    assert seen["baseline_runs"][1] == {"seeds": experiments.SEEDS}
+    for name in ("verifier_fit", "robustness_run"):
+        monkeypatch.setattr(training, "fit_verifier", lambda *args, **named: catch("fit")(None, *args, **named))
+        with pytest.raises(Reached):
+            OWN[name](spark, "unused")
+        assert training.VerifierOptions() in seen["fit"][0]
