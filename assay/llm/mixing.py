@@ -120,10 +120,12 @@ def _multipliers(scored: DataFrame, total: float, target: np.ndarray, second: np
 
     For each weight eps the minimum of  g' W g / 2 + eps / 2 (sum of t (r - 1)^2)  has W g = eps h.  By convexity the squares exceed the
     least ones by no more than the gradient allows: with the smallest p . W g of all documents, at least eps (1 - largest rate)
-    there, and the tokens of the optimum, at most sqrt(target' W target).
+    there, and the tokens of the optimum, at most sqrt(target' W target).  A domain that no document has may be most of the squares:
+    eps has to be small as well, for the others to be met.
     """
     weight, k = np.linalg.inv(second), len(target)
     size = np.sqrt(target @ weight @ target)
+    back = np.linalg.inv(np.linalg.cholesky(second))
     h, eps = np.zeros(k), 1.0
     totals, moments, most = _measure(scored, total, k, [h])[0]
     for _ in range(PASSES):
@@ -131,12 +133,13 @@ def _multipliers(scored: DataFrame, total: float, target: np.ndarray, second: np
         while True:
             slope = eps * second @ h - gap
             excess = max(0.0, weight @ gap @ totals) + max(0.0, eps * (most - 1) + np.abs(weight @ slope).max()) * size
-            if np.abs(gap).max() <= tolerance or excess <= max(EXCESS * (gap @ weight @ gap) / 2, (tolerance * size) ** 2 / 2):
+            if np.abs(gap).max() <= tolerance or (eps <= tolerance / 10 and excess <= max(EXCESS * (gap @ weight @ gap) / 2, (tolerance * size) ** 2 / 2)):
                 return h, totals
             if slope @ weight @ slope > (0.1 * eps) ** 2 * (h @ second @ h):
                 break
             eps *= FALL
-        step = -np.linalg.solve(moments + eps * second, slope)
+        # In the coordinates of the second moments: well scaled however alike the documents are.
+        step = -back.T @ np.linalg.solve(back @ moments @ back.T + eps * np.eye(k), back @ slope)
         tried = [h + x * step for x in LENGTHS]
         found = _measure(scored, total, k, tried)
         # The slope along the step tells better than the value, whose digits cancel, how near its lowest point is.
