@@ -105,3 +105,24 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return mixing_rates(docs, label_domains(labels), DOMAIN_WEIGHTS, carry=["doc_id"])
+
+
+@query
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.merkle import verify
+
+    return verify(table(spark, folder, "documents"))
+
+
+@query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.centroids import cluster
+
+    return cluster(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    from assay.llm.pieces import round_trip
+
+    return round_trip(table(spark, folder, "documents"))
