@@ -2,7 +2,9 @@
 
 Every vector has a short approximation: for each dimension, the number of the cell its component lies in.  A round scans
 approximations only: tables of each cell's least and greatest distance to each centroid add up to an interval for every
-centroid, and where one interval lies below all others the nearest centroid is known.  Full vectors are fetched by a join,
+centroid, and where one interval lies below all others the nearest centroid is known.  Where several overlap, the one in
+front is compared with each of the others by the least difference of the two distances within the vector's cells, a much
+narrower interval, as both distances grow together.  Full vectors are fetched by a join,
 on the stored side without a shuffle, only where intervals overlap or where a vector moves and the sums of its old and new
 cluster change.  All arithmetic is on integers, so the result depends on nothing but the vectors.
 """
@@ -21,11 +23,11 @@ from pyspark.sql import functions as F
 
 from assay.session import cut, scratch_path, width
 
-# Components are of at most this size, so that squared distances fit 64 bits.
-LARGEST = 1 << 27
+# Components are below this size, so that squared distances and their differences fit 64 bits.
+LARGEST = 1 << 26
 
-# Bits of a cell number: two cells share a byte.
-CELL_BITS = 4
+# Bits of a cell number.
+CELL_BITS = 6
 CELLS = 1 << CELL_BITS
 
 # Rows whose bounds are added up at once.
@@ -37,7 +39,7 @@ STATE = "row long, cells binary, cluster int"
 def integer_vectors(vectors: DataFrame, dimensions: int = 64, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, x) of the vectors with exactly ``dimensions`` components, none null, NaN or infinite; x: floor(scale * component).
 
-    A component of 2^27 or more after scaling ends the job with an error: distances would not fit a long.
+    A component of 2^26 or more after scaling ends the job with an error: distances would not fit a long.
     """
     given = F.col(vector).cast("array<double>")
     finite = F.forall(given, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -74,12 +76,11 @@ class Grid:
         return Grid(np.hstack([low, np.minimum(cuts + 1, high)]), np.hstack([np.maximum(cuts, low), high]))
 
     def cells(self, x: np.ndarray) -> np.ndarray:
-        """Cell numbers of vectors, two to a byte."""
-        out = np.empty(x.shape, "u1")
+        """Cell numbers of vectors, packed bit by bit."""
+        out = np.empty((*x.shape, 1), "u1")
         for d in range(x.shape[1]):
-            out[:, d] = np.searchsorted(self.greatest[d, :-1], x[:, d])
-        even = np.pad(out, ((0, 0), (0, x.shape[1] % 2)))
-        return even[:, ::2] | even[:, 1::2] << CELL_BITS
+            out[:, d, 0] = np.searchsorted(self.greatest[d, :-1], x[:, d])
+        return np.packbits(np.unpackbits(out, axis=2)[:, :, -CELL_BITS:].reshape(len(x), -1), axis=1)
 
     def bounds(self, centroids: np.ndarray) -> np.ndarray:
         """Least and greatest squared distance in each dimension of each cell to each centroid: dimension, cell, 2 * centroid."""
@@ -91,34 +92,51 @@ class Grid:
 
 
 def unpacked(cells: np.ndarray, dimensions: int) -> np.ndarray:
-    out = np.empty((len(cells), 2 * cells.shape[1]), "u1")
-    out[:, ::2], out[:, 1::2] = cells & (CELLS - 1), cells >> CELL_BITS
-    return out[:, :dimensions]
+    bits = np.unpackbits(cells, axis=1)[:, : dimensions * CELL_BITS].reshape(-1, CELL_BITS)
+    return (bits @ (1 << np.arange(CELL_BITS)[::-1]).astype("u1")).reshape(-1, dimensions)
+
+
+def candidates(grid: Grid, sums: np.ndarray, centroids: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Which centroids (columns) may be the nearest of the vectors (rows) with these cell numbers; ``sums`` are the grid's bounds."""
+    k, dimensions = centroids.shape
+    total = np.zeros((len(cells), 2 * k), "i8")
+    for d in range(dimensions):
+        total += sums[d][cells[:, d]]
+    least, greatest = total[:, :k], total[:, k:]
+    # No centroid whose least distance is above another's greatest can be the nearest.
+    left = least <= greatest.min(axis=1, keepdims=True)
+    several = np.flatnonzero(left.sum(axis=1) > 1)
+    front = (least + greatest)[several].argmin(axis=1)
+    each = np.arange(dimensions)
+    for f in np.unique(front).tolist():
+        rows = several[front == f]
+        low, high = grid.least[each, cells[rows]], grid.greatest[each, cells[rows]]
+        # |x - c|^2 - |x - front|^2 is linear in x, so it is least at an end of each cell.
+        apart = centroids - centroids[f]
+        difference = (centroids**2 - centroids[f] ** 2).sum(axis=1) - (low + high) @ apart.T - (high - low) @ np.abs(apart).T
+        left[rows] &= difference <= 0
+    return left
 
 
 def _vectors(column: pa.Array, dimensions: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype("i8").reshape(-1, dimensions)
 
 
-def _bounded(state: DataFrame, table: np.ndarray, dimensions: int) -> DataFrame:
+def _bounded(state: DataFrame, grid: Grid, centroids: np.ndarray) -> DataFrame:
     """(row, cells, cluster, nearest, open) of every approximation.
 
     ``nearest`` is the centroid that the intervals leave, null where they leave several; those are the bits of ``open``.
     """
-    k = table.shape[2] // 2
-    sent = state.sparkSession.sparkContext.broadcast(table)  # dimensions * CELLS * 2 * centroids numbers
+    dimensions = centroids.shape[1]
+    # Sizes are given by dimensions, cells and centroids.
+    sent = state.sparkSession.sparkContext.broadcast((grid, grid.bounds(centroids), centroids))
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, STEP):
                 part = batch.slice(at, STEP)
                 cells = unpacked(np.frombuffer(b"".join(part.column("cells").to_pylist()), "u1").reshape(part.num_rows, -1), dimensions)
-                total = np.zeros((part.num_rows, 2 * k), "i8")
-                for d in range(dimensions):
-                    total += sums[d][cells[:, d]]
-                # The least greatest distance: no centroid whose least distance is above it can be the nearest.
-                left = total[:, :k] <= total[:, k:].min(axis=1, keepdims=True)
+                left = candidates(*sent.value, cells)
                 one = left.sum(axis=1) == 1
                 nearest = pa.array(np.where(one, left.argmax(axis=1), -1).astype("i4"), mask=~one)
                 bits = np.packbits(left, axis=1, bitorder="little")
@@ -221,7 +239,7 @@ def rounds(file: VectorFile, centroids: np.ndarray, count: int) -> np.ndarray:
     k, dimensions = centroids.shape
     sums, members = np.zeros((k, dimensions), object), np.zeros(k, object)
     for _ in range(count):
-        seen = cut(_bounded(file.state, file.grid.bounds(centroids), dimensions))
+        seen = cut(_bounded(file.state, file.grid, centroids))
         # Null-safe: vectors without a cluster so far move as well.
         wanted = F.col("nearest").isNull() | ~F.col("nearest").eqNullSafe(F.col("cluster"))
         settled = cut(_settled(file.fetch(seen.where(wanted), "x"), centroids, f"{STATE}, nearest int, x array<int>"))
@@ -256,7 +274,7 @@ def cluster(
     try:
         centroids = rounds(file, centroids, steps)
         # Last, every vector's distance is asked for, so all are fetched; most need one distance only.
-        seen = _bounded(file.state, file.grid.bounds(centroids), dimensions).select("row", "nearest", "open")
+        seen = _bounded(file.state, file.grid, centroids).select("row", "nearest", "open")
         out = cut(_settled(file.fetch(seen, "vec_id", "x"), centroids, "vec_id long, nearest int, distance long"))
     finally:
         file.close()

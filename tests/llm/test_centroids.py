@@ -77,6 +77,9 @@ def test_bounds_hold():
     total = sum(sums[d][cells[:, d]] for d in range(6))
     exact = ((x[:, None] - c[None]) ** 2).sum(axis=2)
     assert (total[:, :9] <= exact).all() and (exact <= total[:, 9:]).all()
+    left = centroids.candidates(grid, sums, c, cells)
+    # All centroids at the least distance stay, and few others do.
+    assert left[exact == exact.min(axis=1, keepdims=True)].all() and left.sum() < 1.5 * len(x)
 
 
 def test_stored_vectors_are_not_shuffled(spark, sf_dir):
@@ -100,7 +103,7 @@ def test_few_vectors_are_fetched(spark):
     kept = centroids.integer_vectors(table(spark, rows), 16)
     file = centroids.VectorFile(kept.cache(), 16)
     last = centroids.rounds(file, np.floor(256 * centers).astype("i8"), 2)
-    seen = centroids._bounded(file.state, file.grid.bounds(last), 16)
+    seen = centroids._bounded(file.state, file.grid, last)
     opened = seen.where("nearest IS NULL").count()
     file.close()
     assert opened < 80
