@@ -16,7 +16,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.common import key_and_text, slices
@@ -29,8 +29,11 @@ SEED = 42
 # Bins of a min-hash signature, and the standard deviations below the wanted similarity at which a pair is dropped by it.
 BINS, MARGIN = 256, 4.0
 
-# Bands of min-hashes, and rows of each: a pair at similarity 0.8 has no band in common in (1 - 0.8 ** 8) ** 32 = 0.3 % of cases.
-BANDS, BAND_ROWS = 32, 8
+# Bands of min-hashes, and rows of each: a pair at similarity 0.8 has no band in common in (1 - 0.8 ** 8) ** 48 = 0.015 % of cases.
+BANDS, BAND_ROWS = 48, 8
+
+# Nodes of a group that all others of it are compared with first.
+HUBS = 3
 
 # Cost of a probe (a row to shuffle) in candidates to verify.
 PROBE_COST = 10
@@ -263,12 +266,32 @@ def _alike(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
 
-def without_near_copies(docs: DataFrame, distance: int = 12, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
+def hub_pairs(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: every member (key, node) of a key with the smallest node there, and with those of the least hashes."""
+    of = Window.partitionBy("key")
+    orders = [F.struct(F.lit(0).cast("long"), F.col("node"))] + [F.struct(F.xxhash64("node", F.lit(i)), F.col("node")) for i in range(1, HUBS)]
+    hubs = F.array(*[F.min(o).over(of)["node"] for o in orders])
+    pairs = members.select("node", hubs.alias("hubs")).select("node", F.explode(F.array_distinct("hubs")).alias("hub")).where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
+def apart_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of members (key, node) of a key that lie in different components (node, root)."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of = Window.partitionBy("key")
+    mixed = cut(placed.withColumn("low", F.min("root").over(of)).withColumn("high", F.max("root").over(of)).where("low < high").select("key", "node", "root"))
+    left, right = mixed.toDF("key", "a", "root_a"), mixed.toDF("key", "b", "root_b")
+    return left.join(right, "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+
+
+def without_near_copies(docs: DataFrame, distance: int = 4, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
 
     Candidates are fingerprints within ``distance`` bits, and shingle sets with a band of min-hashes in common.  They are links
     if the share of common distinct shingles among all of both, counted on the whole sets, is at least ``similarity``; min-hash
-    signatures only drop pairs far below it before that.  Groups are what links connect.  A null doc_id comes after all others, equal ids in order of a digest of the text; of repeated rows one
+    signatures only drop pairs far below it before that.  Groups are what links connect.  Of the sets with a band (or the whole
+    fingerprint) in common, all are first compared with a few of them, so that a large group of copies falls together at the cost
+    of its size; then all pairs are compared that lie in different groups so far, whatever their number.  A null doc_id comes after all others, equal ids in order of a digest of the text; of repeated rows one
     stays.  Null and empty texts are copies of each other.
     """
 
@@ -293,25 +316,33 @@ def without_near_copies(docs: DataFrame, distance: int = 12, shingle_words: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = cut(texts.mapInArrow(make, "doc_id long, key binary, fp long, sig binary, set binary, bands array<long>"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("key"))
-    nodes = cut(cut(rows.groupBy("fp", "set").agg(F.min(order).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))).withColumn("node", F.monotonically_increasing_id()))
+    grouped = rows.groupBy("fp", "set").agg(F.min(order).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
+    # Candidates are pairs of nodes that have a key in common: a band, or all bits of the fingerprint.
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
+    keyed = keyed.union(nodes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
+    members = cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node"))
+    # Fingerprints a few bits apart, each by the smallest of its nodes.
+    ends = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     near = links(nodes.select("fp").distinct(), distance)
-    left = nodes.select(F.col("fp").alias("a_fp"), F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("fp").alias("b_fp"), F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    met = near.withColumnsRenamed({"a": "a_fp", "b": "b_fp"}).join(left, "a_fp").join(right, "b_fp").select("a", "b", "sig_a", "sig_b")
-    equal = left.join(right, (F.col("a_fp") == F.col("b_fp")) & (F.col("a") < F.col("b"))).select("a", "b", "sig_a", "sig_b")
-    banded = nodes.select("node", "sig", F.posexplode("bands").alias("band", "value"))
-    other = banded.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), "band", "value")
-    shared = banded.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), "band", "value").join(other, ["band", "value"]).where("a < b")
-    pairs = met.union(equal).union(shared.select("a", "b", "sig_a", "sig_b")).mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long")
-    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # Whole shingle sets of the documents that pairs name, one document for each node.
-    named = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first.doc_id").alias("named_id"), F.col("first.key").alias("named_key"))
-    sources = texts.join(named, (F.col("key") == F.col("named_key")) & F.col("doc_id").eqNullSafe(F.col("named_id"))).select("node", "text")
-    sets = cut(sources.dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles array<long>"))
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-    linked = both.select("a", "b", common.alias("common"), sizes.alias("sizes")).where(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9)
-    roots = components(linked, "a", "b")
+    near = near.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the distinct pairs (a, b) that are links, by signatures and then by whole sets."""
+        signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+        close = cut(signed.mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long"))
+        # Whole shingle sets of the documents that pairs name, one document for each node.
+        named = nodes.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first.doc_id").alias("named_id"), F.col("first.key").alias("named_key"))
+        sources = texts.join(named, (F.col("key") == F.col("named_key")) & F.col("doc_id").eqNullSafe(F.col("named_id"))).select("node", "text")
+        sets = cut(sources.dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles array<long>"))
+        both = close.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+        return both.select("a", "b", common.alias("common"), sizes.alias("sizes")).where(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
+
+    tried = cut(hub_pairs(members).union(near).distinct())
+    linked = cut(verified(tried))
+    rest = cut(apart_pairs(members, components(linked, "a", "b")).join(tried, ["a", "b"], "left_anti"))
+    roots = components(linked.union(verified(rest)), "a", "b")
     grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = cut(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), key.alias("key"))

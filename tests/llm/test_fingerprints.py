@@ -111,6 +111,37 @@ def test_near_copies_by_exact_similarity(spark, n):
     assert not wrong and len(missed) <= 2
 
 
+@pytest.mark.parametrize("big", [60, 2000])
+def test_groups_equal_all_comparisons(spark, big):
+    """A large group of near copies, chains and groups that share passages, against all pairs of whole shingle sets."""
+    rng = np.random.default_rng(big)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    edited = lambda base, k: [w if i not in spots else f"e{rng.integers(10**9)}" for spots in [set(rng.integers(0, len(base), k).tolist())] for i, w in enumerate(base)]
+    base, texts = words(120), []
+    texts += [edited(base, int(rng.integers(0, 3))) for _ in range(big)]
+    for _ in range(25):
+        other = words(int(rng.integers(6, 200)))
+        texts += [other, edited(other, 1), edited(other, 2), other[: int(len(other) * 0.85)], base[:60] + other]
+    rng.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holders = {}
+    for i, s in enumerate(sets):
+        for j, common in Counter(j for shingle in s for j in holders.get(shingle, ())).items():
+            if find(i) != find(j) and common >= 0.8 * (len(s) + len(sets[j]) - common):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+        for shingle in s:
+            holders.setdefault(shingle, []).append(i)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in without_near_copies(docs).collect()} == {find(i) for i in range(len(texts))}
+
+
 def test_edits_and_next_documents(spark):
     docs = odd_documents(spark)
     got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in compare_with_edits(docs).collect())
