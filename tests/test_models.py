@@ -157,3 +157,58 @@ def test_ml_stages_refuse_damped_counts(spark):
 
     with pytest.raises(ValueError):
         tfidf_stages(spark.createDataFrame([(1, "a b")], "claim_id long, text string"), TfidfOptions(sublinear=True))
+
+
+def _vectors(spark, n=60):
+    rows = [(i, i % 2, [float((i * 7 + d * 3) % 11) / 11 + (i % 2) * 0.4 * (d % 2) for d in range(6)]) for i in range(n)]
+    return spark.createDataFrame(rows, "claim_id long, label int, vector array<float>")
+
+
+def test_selection_is_one_run(spark, monkeypatch):
+    """Steps go on from the weights before, so the iterations add up to the last count, and the best state is kept."""
+    rows, calls = _vectors(spark), []
+    plain = md._fit_layers
+
+    def watched(x, layers, max_iter, seed, before=None):
+        model = plain(x, layers, max_iter, seed, before)
+        calls.append((max_iter, before, model))
+        return model
+
+    monkeypatch.setattr(md, "_fit_layers", watched)
+    chosen = md.select_mlp(rows, rows, iterations=(2, 5, 9), patience=3, hidden=(4,))
+    assert [n for n, _, _ in calls] == [2, 3, 4]
+    assert calls[0][1] is None and [b for _, b, _ in calls[1:]] == [m for _, _, m in calls[:-1]]
+    assert [h["max_iter"] for h in chosen.history] == [2, 5, 9]
+    losses = [h["loss"] for h in chosen.history]
+    assert losses == sorted(losses, reverse=True)
+    best = max(chosen.history, key=lambda h: (h["f1_macro"], -h["step"]))
+    assert chosen.max_iter == best["max_iter"] and chosen.model is calls[best["step"] - 1][2]
+    with pytest.raises(ValueError):
+        md.select_mlp(rows, rows, iterations=(5, 5), hidden=(4,))
+
+
+def test_runs_share_what_they_have_in_common(spark, sf_dir, monkeypatch):
+    """Each row of the matrix equals the run fitted alone; perceptrons, text models and vectors are made once."""
+    from dataclasses import replace
+
+    from assay.operators.metrics import evaluate
+    from assay.plans import experiments, training
+    from assay.plans.catalog import _verifier_inputs
+
+    made = {"mlp": 0, "lr": 0}
+    for name, function in (("mlp", "select_mlp"), ("lr", "fit_logistic")):
+        plain = getattr(md, function)
+        monkeypatch.setattr(md, function, lambda *a, plain=plain, name=name, **k: (made.__setitem__(name, made[name] + 1), plain(*a, **k))[1])
+    train, val, test, evidence, lexicon = _verifier_inputs(spark, sf_dir)
+    configs = {k: experiments.ABLATIONS[k] for k in ("full", "no_speaker", "no_ensemble")}
+    base = replace(QUICK, hidden=(4,))
+    got = {(r.model, r.seed): r for r in experiments.ablations(train, val, test, evidence, lexicon, configs, (1, 2), base).collect()}
+    assert set(got) == {(c, s) for c in configs for s in (1, 2)}
+    assert made == {"mlp": 4, "lr": 2}
+    for name, changes in configs.items():
+        options = replace(base, seed=2, **changes)
+        alone = training.fit_verifier(train, val, options, evidence, lexicon)
+        want = evaluate(alone.predict(test, evidence)).first()
+        row = got[name, 2]
+        assert row.ensemble_weight == alone.options.weight and row.use_speaker == options.use_speaker and row.use_ensemble == options.use_ensemble
+        assert (row.test_acc, row.test_f1_macro) == pytest.approx((want.accuracy, want.f1_macro))
