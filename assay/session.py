@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders written by ``cut`` in the innermost block of ``passing``.
+_PASSING: ContextVar[list[str] | None] = ContextVar("assay_passing", default=None)
+
 # Planner settings the jobs are written for.  All are runtime choices of
 # adaptive execution: nothing below depends on the size of one cluster.
 SETTINGS = {
@@ -69,4 +75,40 @@ def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     path = scratch_path(spark, "cut")
     rows = df.repartition(width(spark)) if spread else df
     rows.write.parquet(path)
+    passing = _PASSING.get()
+    if passing is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared one, by the file system that it is in."""
+    if not path.startswith(scratch_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``cut`` writes within this block are gone after it.
+
+    What is needed later must be written by a ``cut`` outside, or as the value of ``lasting`` inside.
+    """
+    paths: list[str] = []
+    token = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """``cut``, for a table that outlives the blocks of ``passing`` it is written in."""
+    token = _PASSING.set(None)
+    try:
+        return cut(df)
+    finally:
+        _PASSING.reset(token)
