@@ -10,8 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Folders written by ``cut`` in the innermost block of ``passing``.
-_PASSING: ContextVar[list[str] | None] = ContextVar("assay_passing", default=None)
+# Folders written by ``cut`` in each open block of ``passing``, the innermost last.
+_PASSING: ContextVar[tuple[list[str], ...]] = ContextVar("assay_passing", default=())
 
 # Planner settings the jobs are written for.  All are runtime choices of
 # adaptive execution: nothing below depends on the size of one cluster.
@@ -75,9 +75,9 @@ def cut(df: DataFrame, spread: bool = False) -> DataFrame:
     path = scratch_path(spark, "cut")
     rows = df.repartition(width(spark)) if spread else df
     rows.write.parquet(path)
-    passing = _PASSING.get()
-    if passing is not None:
-        passing.append(path)
+    blocks = _PASSING.get()
+    if blocks:
+        blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -93,10 +93,10 @@ def remove(spark: SparkSession, path: str) -> None:
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables that ``cut`` writes within this block are gone after it.
 
-    What is needed later must be written by a ``cut`` outside, or as the value of ``lasting`` inside.
+    What is needed later is written by ``lasting``.
     """
     paths: list[str] = []
-    token = _PASSING.set(paths)
+    token = _PASSING.set((*_PASSING.get(), paths))
     try:
         yield
     finally:
@@ -106,8 +106,8 @@ def passing(spark: SparkSession) -> Iterator[None]:
 
 
 def lasting(df: DataFrame) -> DataFrame:
-    """``cut``, for a table that outlives the blocks of ``passing`` it is written in."""
-    token = _PASSING.set(None)
+    """``cut``, for a table that outlives the innermost block of ``passing``; it goes with the one around that, if there is one."""
+    token = _PASSING.set(_PASSING.get()[:-1])
     try:
         return cut(df)
     finally:

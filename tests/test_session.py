@@ -18,8 +18,9 @@ def test_passing_tables_go_and_lasting_ones_stay(spark):
         a = cut(spark.range(5))
         with passing(spark):
             b = cut(a.selectExpr("id + 1 AS id"))
-            kept = lasting(b.selectExpr("id * 2 AS id"))
-        assert len(folders(spark) - before) == 2  # a and kept
+            c = lasting(b.selectExpr("id * 2 AS id"))
+        assert len(folders(spark) - before) == 2  # a and c
+        kept = lasting(c)
     assert sorted(r.id for r in kept.collect()) == [2, 4, 6, 8, 10]
     assert len(folders(spark) - before) == 1
 
