@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.session import cut
+from assay.session import cut, lasting, passing
 
 
 # Links that one task thins out.
@@ -41,8 +41,15 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     First every task replaces the links it has by as few that connect the same nodes, so a dense group of n nodes comes down
     from up to n * n links to about n for each task.  Then alternating star steps: each node passes its neighbours to its smallest one, until nothing changes.  The number of
     rounds grows with the logarithm of a component's size.  Every step is a grouping and a join of the links, written to
-    the shared folder.
+    the shared folder; only the last table stays there.
     """
+    with passing(links.sparkSession):
+        edges = lasting(_stars(links, a, b))
+    # At rest every edge leads to its root.
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+
+
+def _stars(links: DataFrame, a: str, b: str) -> DataFrame:
     given = cut(links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v"))
     tasks = -(-given.count() // TASK_LINKS)
     edges = cut(given.repartition(max(1, tasks)).mapInArrow(_forest, "u long, v long").distinct())
@@ -61,5 +68,4 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
-    # At rest every edge leads to its root.
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+    return edges

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import key_and_text, slices
 from assay.llm.graph import components
-from assay.session import cut
+from assay.session import cut, lasting, passing
 
 BITS = 64
 SEED = 42
@@ -314,41 +314,42 @@ def without_near_copies(docs: DataFrame, distance: int = 4, shingle_words: int =
 
     key = F.substring(F.unhex(F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)), 1, 16)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = cut(texts.mapInArrow(make, "doc_id long, key binary, fp long, sig binary, set binary, bands array<long>"))
-    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("key"))
-    grouped = rows.groupBy("fp", "set").agg(F.min(order).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
-    # Candidates are pairs of nodes that have a key in common: a band, or all bits of the fingerprint.
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
-    keyed = keyed.union(nodes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
-    members = cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node"))
-    # Fingerprints a few bits apart, each by the smallest of its nodes.
-    ends = nodes.groupBy("fp").agg(F.min("node").alias("node"))
-    near = links(nodes.select("fp").distinct(), distance)
-    near = near.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the distinct pairs (a, b) that are links, by signatures and then by whole sets."""
-        signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        close = cut(signed.mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long"))
-        # Whole shingle sets of the documents that pairs name, one document for each node.
-        named = nodes.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first.doc_id").alias("named_id"), F.col("first.key").alias("named_key"))
-        sources = texts.join(named, (F.col("key") == F.col("named_key")) & F.col("doc_id").eqNullSafe(F.col("named_id"))).select("node", "text")
-        sets = cut(sources.dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles array<long>"))
-        both = close.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
-        return both.select("a", "b", common.alias("common"), sizes.alias("sizes")).where(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
-
-    tried = cut(hub_pairs(members).union(near).distinct())
-    linked = cut(verified(tried))
-    rest = cut(apart_pairs(members, components(linked, "a", "b")).join(tried, ["a", "b"], "left_anti"))
-    roots = components(linked.union(verified(rest)), "a", "b")
-    grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = cut(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")))
+    with passing(docs.sparkSession):
+        rows = cut(texts.mapInArrow(make, "doc_id long, key binary, fp long, sig binary, set binary, bands array<long>"))
+        order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id"), F.col("key"))
+        grouped = rows.groupBy("fp", "set").agg(F.min(order).alias("first"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        nodes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
+        # Candidates are pairs of nodes that have a key in common: a band, or all bits of the fingerprint.
+        keyed = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("key"))
+        keyed = keyed.union(nodes.select("node", F.xxhash64(F.lit("fp"), "fp").alias("key")))
+        members = cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select("key", "node"))
+        # Fingerprints a few bits apart, each by the smallest of its nodes.
+        ends = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+        near = links(nodes.select("fp").distinct(), distance)
+        near = near.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+        def verified(pairs: DataFrame) -> DataFrame:
+            """Those of the distinct pairs (a, b) that are links, by signatures and then by whole sets."""
+            signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
+            close = cut(signed.mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long"))
+            # Whole shingle sets of the documents that pairs name, one document for each node.
+            named = nodes.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first.doc_id").alias("named_id"), F.col("first.key").alias("named_key"))
+            sources = texts.join(named, (F.col("key") == F.col("named_key")) & F.col("doc_id").eqNullSafe(F.col("named_id"))).select("node", "text")
+            sets = cut(sources.dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles array<long>"))
+            both = close.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+            common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
+            return both.select("a", "b", common.alias("common"), sizes.alias("sizes")).where(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
+
+        tried = cut(hub_pairs(members).union(near).distinct())
+        linked = cut(verified(tried))
+        rest = cut(apart_pairs(members, components(linked, "a", "b")).join(tried, ["a", "b"], "left_anti"))
+        roots = components(linked.union(verified(rest)), "a", "b")
+        grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        kept = lasting(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")))
+        repeats = lasting(rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")))
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("id"), key.alias("key"))
     same = (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id"))
     out = tagged.join(kept, same, "left_semi")
-    repeats = rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     if repeats.limit(1).count():
         out = out.join(repeats, same, "left_anti").union(out.join(repeats, same, "left_semi").dropDuplicates(["id", "key"]))
     return out.select("doc.*")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.common import slices
 from assay.llm.induced import END, repeated
-from assay.session import cut
+from assay.session import cut, lasting, passing
 
 # Bytes that make a repetition, and what part of them the first inner string has.
 LENGTH, GRAM_PART = 400, 4
@@ -233,8 +233,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # Of each text, one document is read again for its bytes.
     first = rows.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     once = rows.join(first.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "text")
-    windows = repeated_windows(rows.select("key", "text", F.lit(1).cast("long").alias("n")), once, length)
-    return windows.select("key", F.transform("runs", lambda r: F.struct(r.a.alias("a"), (r.b + (length - 1)).alias("b"))).alias("spans"))
+    with passing(docs.sparkSession):
+        windows = repeated_windows(rows.select("key", "text", F.lit(1).cast("long").alias("n")), once, length)
+        return lasting(windows.select("key", F.transform("runs", lambda r: F.struct(r.a.alias("a"), (r.b + (length - 1)).alias("b"))).alias("spans")))
 
 
 def _merge(spans: list[dict] | None) -> list[tuple[int, int]]:
