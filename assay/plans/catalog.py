@@ -20,7 +20,7 @@ from assay.operators import models as md
 from assay.operators import reports as rp
 from assay.operators import retrieval as rt
 from assay.plans import views as v
-from assay.session import cut, scratch_path
+from assay.session import cut, scratch_path, width
 from assay.sources import claims as cl
 from assay.sources import fever as fv
 from assay.sources import results as rs
@@ -644,16 +644,17 @@ def write_page_dump(spark, sf_dir) -> str:
 
 
 def write_keyed_claims(spark, sf_dir) -> str:
-    """Conversation turns as claims that cite four drawn document sentences, one of them twice,
+    """Conversation turns as claims that cite four sentences drawn from all of a document's, one of them twice,
     one without a page now and then, and one broken tuple."""
     docs = v.table(spark, sf_dir, "documents")
     n = docs.agg(F.count("*").alias("n")).scalar()
     turns = v.short_claims(spark, sf_dir)
     draws = turns.select("claim_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("j")).select(
         "claim_id", "j", F.floor(uniform(F.lit("cite"), F.col("claim_id"), F.col("j")) * n).cast("long").alias("doc_id"),
-        F.floor(uniform(F.lit("sent"), F.col("claim_id"), F.col("j")) * 4).cast("int").alias("sent"),
+        uniform(F.lit("sent"), F.col("claim_id"), F.col("j")).alias("u"),
     )
-    titled = draws.join(docs.select("doc_id", F.concat_ws("-", "lang", "n_chars").alias("title")), "doc_id")
+    titles = docs.select("doc_id", F.concat_ws("-", "lang", "n_chars").alias("title"), F.size(F.split("text", "\n")).alias("n_lines"))
+    titled = draws.join(titles, "doc_id").withColumn("sent", F.floor(F.col("u") * F.col("n_lines")).cast("int"))
     page = F.when((F.col("j") == 3) & (F.col("sent") == 0), F.lit(None).cast("string")).otherwise(F.col("title"))
     one = F.array(F.lit("1"), F.col("j").cast("string"), page, F.col("sent").cast("string"))
     cited = titled.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct("j", one.alias("e")))).alias("c"))
@@ -688,9 +689,9 @@ def keyed_claims(spark, sf_dir):
 
 @query
 def evidence_resolve(spark, sf_dir):
-    sentences = fv.write_sentences(
-        fv.sentence_table(fv.scan_pages(spark, write_page_dump(spark, sf_dir))), scratch_path(spark, "sentences")
-    )
+    path = scratch_path(spark, "sentences")
+    pages = fv.scan_pages(spark, write_page_dump(spark, sf_dir))
+    sentences = fv.write_sentences(fv.sentence_table(pages), path, path.rsplit("/", 1)[1].replace("-", "_"), width(spark))
     loaded = fv.load_claims(spark, write_keyed_claims(spark, sf_dir))
     loaded = loaded.withColumn("claim_id", F.col("claim").cast("long"))
     out = ev.resolve(loaded, sentences)

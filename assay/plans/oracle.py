@@ -659,8 +659,10 @@ SELECT claim_id, CASE WHEN speaker = 'user' THEN 1 ELSE 0 END AS label, CASE WHE
   6 AS n_tuples FROM short_claims WHERE speaker IN ('user', 'assistant')"""
 ORACLE["evidence_resolve"] = f"""WITH {SHORT}, {SENTENCES},
 draws AS (SELECT claim_id, speaker, j, floor({uniform("'cite'", 'claim_id', 'j')} * (SELECT count(*) FROM documents))::BIGINT AS doc_id,
-  floor({uniform("'sent'", 'claim_id', 'j')} * 4)::INTEGER AS sent_id FROM short_claims, (VALUES (0), (1), (2), (3)) t(j)),
-titled AS (SELECT w.claim_id, w.j, w.sent_id, d.lang || '-' || d.n_chars AS title FROM draws w JOIN documents d ON w.doc_id = d.doc_id WHERE NOT (w.j = 3 AND w.sent_id = 0)),
+  {uniform("'sent'", 'claim_id', 'j')} AS u FROM short_claims, (VALUES (0), (1), (2), (3)) t(j)),
+placed AS (SELECT w.claim_id, w.j, floor(w.u * len(string_split(d.text, chr(10))))::INTEGER AS sent_id, d.lang || '-' || d.n_chars AS title
+  FROM draws w JOIN documents d ON w.doc_id = d.doc_id),
+titled AS (SELECT * FROM placed WHERE NOT (j = 3 AND sent_id = 0)),
 firsts AS (SELECT claim_id, title, sent_id, min(j) AS j FROM titled GROUP BY ALL),
 hits AS (SELECT f.claim_id, s.text, row_number() OVER (PARTITION BY f.claim_id ORDER BY f.j) AS r FROM firsts f JOIN sentences s ON f.title = s.title AND f.sent_id = s.sent_id),
 joined AS (SELECT claim_id, string_agg(text, ' ' ORDER BY r) AS text FROM hits WHERE r <= 3 GROUP BY claim_id)

@@ -80,8 +80,13 @@ def sentence_table(pages: DataFrame, order: str = "line_key") -> DataFrame:
     return usable.groupBy("title", "sent_id").agg(F.max_by("text", "pos").alias("text"))
 
 
-def write_sentences(sentences: DataFrame, path: str) -> DataFrame:
-    """Write the sentence table sorted by title inside files, so that title filters
-    skip row groups, and read it back."""
-    sentences.repartition("title").sortWithinPartitions("title", "sent_id").write.mode("overwrite").parquet(path)
-    return sentences.sparkSession.read.parquet(path)
+def write_sentences(sentences: DataFrame, path: str, table: str, buckets: int) -> DataFrame:
+    """Store the sentence table as ``table`` below ``path``, in ``buckets`` by title and sentence, each sorted, and read it back.
+
+    A join on (title, sent_id) takes the stored buckets as they are: however many claims and runs
+    ask for sentences, only the citations move.  A title of any length is spread over buckets.
+    """
+    spark, keys = sentences.sparkSession, ("title", "sent_id")
+    writer = sentences.repartition(buckets, *keys).write.format("parquet").mode("overwrite")
+    writer.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)

@@ -3,8 +3,9 @@ from pyspark.sql import functions as F
 
 from assay.operators import evidence as ev
 from assay.plans.evidence_build import build_evidence
-from assay.session import scratch_path
+from assay.session import scratch_path, width
 from assay.sources import results as rs
+from assay.sources.fever import write_sentences
 
 PAGES = [(i, f"topic{i} " + " ".join(f"word{i}_{j}" for j in range(30))) for i in range(12)]
 CLAIMS = [(i, f"topic{i} word{i}_1 word{i}_2 word{i}_3 word{i}_4 word{i}_5 word{i}_6") for i in range(12)]
@@ -86,3 +87,31 @@ def test_k_distribution(spark):
     rows = spark.createDataFrame([(1,), (1,), (3,), (5,)], "k int")
     got = {r.k: (r.n_claims, r.share, r.distinct_k) for r in ev.k_distribution(rows).collect()}
     assert got == {1: (2, 0.5, 3), 3: (1, 0.25, 3), 5: (1, 0.25, 3)}
+
+
+def test_stored_sentences_are_not_moved(spark):
+    """The stored side of the join reads its buckets without an exchange; the result is that of plain tables."""
+    sentences = spark.createDataFrame([(f"t{i % 9}", i // 9, f"text {i}") for i in range(900)], "title string, sent_id int, text string")
+    path = scratch_path(spark, "sentences")
+    stored = write_sentences(sentences, path, path.rsplit("/", 1)[1].replace("-", "_"), width(spark))
+    cited = [(c, [[["1", "2", f"t{c % 11}", str(c * 7 % 120)], ["1", "3", f"t{c % 5}", "99"]]]) for c in range(300)]
+    claims = spark.createDataFrame(cited, "claim_id long, evidence array<array<array<string>>>")
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    plan = ev.resolve(claims, stored)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(threshold, before)
+    scan = next(i for i, line in enumerate(plan.splitlines()) if "Bucketed: true" in line)
+    above = plan.splitlines()[:scan]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    # Up from the scan to the join that reads it: no exchange between them.
+    at, steps = depth(plan.splitlines()[scan]), []
+    for line in reversed(above):
+        if depth(line) < at:
+            at = depth(line)
+            steps.append(line.strip(" :+-*"))
+            if "Join" in line:
+                break
+    assert "Join" in steps[-1] and not any(s.startswith("Exchange") for s in steps)
+    want = {r.claim_id: r.evidence_text for r in ev.resolve(claims, sentences).collect()}
+    assert {r.claim_id: r.evidence_text for r in ev.resolve(claims, stored).collect()} == want and any(want.values())
