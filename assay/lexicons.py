@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 # Hedging words of the uncertainty score.
 HEDGE_WORDS = (
-    "allegedly", "apparently", "claims", "could", "likely", "maybe", "might",
-    "perhaps", "possibly", "purportedly", "reportedly", "rumored", "say",
-    "says", "seem", "seems", "some", "suggest", "suggested", "suggests",
-    "supposedly", "unlikely",
+    "allegedly", "apparently", "claims", "reportedly", "possibly",
+    "perhaps", "maybe", "might", "could", "suggest", "suggests",
+    "suggested", "seem", "seems", "likely", "unlikely", "rumored",
+    "purportedly", "supposedly", "some", "say", "says",
 )
 
 # Vague quantifiers of the uncertainty score.
 VAGUE_WORDS = (
-    "broadly", "few", "frequently", "generally", "largely", "many", "most",
-    "numerous", "occasionally", "often", "rarely", "several", "some",
-    "sometimes", "various",
+    "many", "several", "few", "some", "various", "numerous",
+    "most", "often", "sometimes", "frequently", "rarely",
+    "occasionally", "generally", "largely", "broadly",
 )
 
 # Words that random deletion always keeps.
@@ -39,9 +39,10 @@ POS_OF_TAG = {
 
 # Substitutes that are never offered.
 BLOCKED_SYNONYMS = (
-    "ampere", "ass", "bastard", "billhook", "bitch", "cock", "crap", "cunt",
-    "damn", "dick", "fuck", "hell", "homo", "idiot", "moron", "neb", "pecker",
-    "piss", "pussy", "retard", "shit", "whore",
+    "fuck", "shit", "ass", "bastard", "crap", "damn", "hell",
+    "piss", "whore", "bitch", "cock", "dick", "pussy", "cunt",
+    "homo", "retard", "moron", "idiot",
+    "ampere", "neb", "pecker", "billhook",
 )
 
 # The six truth labels and their class (1 real, 0 fake).

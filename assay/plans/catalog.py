@@ -245,8 +245,7 @@ def write_raw_claims(spark, sf_dir) -> str:
 
 @query
 def raw_claims_scan(spark, sf_dir):
-    folder = write_raw_claims(spark, sf_dir)
-    raw = cl.scan_tsv(spark, f"{folder}/{cl.SPLIT_FILES['train']}")
+    raw = cl.scan_splits(spark, write_raw_claims(spark, sf_dir))
     return raw.select("id", "label_str", "subject", "speaker", "party", *cl.RAW_COUNTS, "context",
                       F.md5("claim").alias("claim_md5"))
 
@@ -270,8 +269,7 @@ def processed_roundtrip(spark, sf_dir):
 
 @query
 def speaker_history(spark, sf_dir):
-    folder = write_raw_claims(spark, sf_dir)
-    raw = cl.scan_tsv(spark, f"{folder}/{cl.SPLIT_FILES['train']}")
+    raw = cl.scan_splits(spark, write_raw_claims(spark, sf_dir))
     shares = [c.replace("_counts", "_share") for c in cl.RAW_COUNTS]
     return _rounded(cl.speaker_history(raw).select("id", "history_total", *shares), *shares)
 

@@ -300,7 +300,7 @@ cleaned AS (
   FROM raw WHERE label_str <> 'not-rated'
 )"""
 ORACLE["raw_claims_scan"] = f"""WITH {CLAIMS}, {RAW}
-SELECT id, label_str, subject, speaker, party, {", ".join(RAW_COUNTS)}, context, md5(claim) AS claim_md5 FROM raw WHERE split = 'train'"""
+SELECT id, label_str, subject, speaker, party, {", ".join(RAW_COUNTS)}, context, md5(claim) AS claim_md5 FROM raw"""
 ORACLE["load_splits"] = f"""WITH {CLAIMS}, {RAW}
 SELECT split, speaker, subject, label, label_str, md5(claim) AS claim_md5 FROM cleaned"""
 ORACLE["processed_roundtrip"] = f"""WITH {CLAIMS}, {RAW}
@@ -312,7 +312,7 @@ _SHARES = ", ".join(
     for c in RAW_COUNTS
 )
 ORACLE["speaker_history"] = f"""WITH {CLAIMS}, {RAW}
-SELECT id, {_TOTAL}::BIGINT AS history_total, {_SHARES} FROM raw WHERE split = 'train'"""
+SELECT id, {_TOTAL}::BIGINT AS history_total, {_SHARES} FROM raw"""
 ORACLE["split_stats"] = f"""WITH {CLAIMS}
 SELECT split, count(*) AS n_rows, count(*) FILTER (label = 1) AS n_real, count(*) FILTER (label = 0) AS n_fake,
   round(avg((label = 1)::INTEGER::DOUBLE), 6) AS real_share FROM labelled GROUP BY split"""

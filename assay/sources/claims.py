@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,7 @@ RAW_SCHEMA = T.StructType(
     + [T.StructField(c, T.IntegerType()) for c in RAW_COUNTS]
     + [T.StructField(c, T.StringType()) for c in RAW_LAST]
 )
+# Columns of a cleaned claim.
 CLAIM_COLUMNS = ("claim", "speaker", "subject", "label", "label_str")
 
 
@@ -71,6 +74,12 @@ def load_split(spark: SparkSession, folder: str, split: str, quote: str = "") ->
     return rows.select(F.lit(split).alias("split"), *CLAIM_COLUMNS)
 
 
+def scan_splits(spark: SparkSession, folder: str, quote: str = "") -> DataFrame:
+    """All rows of all split files as they are."""
+    scans = [scan_tsv(spark, f"{folder.rstrip('/')}/{name}", quote) for name in SPLIT_FILES.values()]
+    return reduce(DataFrame.unionByName, scans)
+
+
 def load_splits(spark: SparkSession, folder: str, quote: str = "") -> DataFrame:
     """All splits in one table."""
     train, *others = [load_split(spark, folder, s, quote) for s in SPLIT_FILES]
