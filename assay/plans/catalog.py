@@ -13,6 +13,7 @@ from assay.functions.hashing import digest, uniform
 from assay.functions.uncertainty import FEATURES, with_budget
 from assay.lexicons import LABEL_CLASS
 from assay.operators import augment as aug
+from assay.operators import dense as dn
 from assay.operators import evidence as ev
 from assay.operators import features as ft
 from assay.operators import metrics as mt
@@ -622,6 +623,14 @@ def final_summary(spark, sf_dir):
     )
 
 
+@query
+def dense_search(spark, sf_dir):
+    """The ten nearest vectors of every row whose id is divisible by 100, against all rows."""
+    vectors = v.table(spark, sf_dir, "embeddings")
+    index = dn.build_index(vectors, scratch_path(spark, "dense"))
+    return _rounded(dn.search(vectors.where(F.col("vec_id") % 100 == 0), index), "cosine")
+
+
 # --- Key-based evidence ------------------------------------------------------------------------
 
 

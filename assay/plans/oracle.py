@@ -645,6 +645,15 @@ SELECT model, CASE WHEN augmentation = 'baseline' THEN 'baseline' ELSE 'main' EN
   format('{{:.4f}}', accuracy) AS test_acc, format('{{:.4f}}', f1_macro) AS test_f1_macro FROM results"""
 
 
+ORACLE["dense_search"] = """
+WITH given AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+units AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM given WHERE list_inner_product(v, v) > 0),
+pairs AS (SELECT q.vec_id AS query_id, o.vec_id AS id, round(list_inner_product(q.u, o.u), 9) AS cosine
+  FROM units q JOIN units o ON q.vec_id <> o.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id)::INTEGER AS rank FROM pairs)
+SELECT query_id, rank, id, round(cosine, 6) AS cosine FROM ranked WHERE rank <= 10"""
+
+
 # --- Key-based evidence ------------------------------------------------------------------------
 
 SENTENCES = f"""
