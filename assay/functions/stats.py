@@ -76,22 +76,20 @@ def normal_upper(z: Column) -> Column:
     return F.when(z >= 0, upper).otherwise(1.0 - upper)
 
 
-def signed_rank_counts(n: Column) -> Column:
-    """Number of sign patterns of ``n`` ranks for each rank sum 0 .. n(n+1)/2."""
-    top = (n * (n + 1) / 2).cast("int")
-    first = F.transform(F.sequence(F.lit(0), top), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+def signed_rank_exact(doubled_ranks: Column, doubled_smaller: Column) -> Column:
+    """Exact two-sided p-value of the smaller signed-rank sum, ties included.
 
-    def with_rank(counts: Column, rank: Column) -> Column:
+    ``doubled_ranks`` holds twice the (mean) rank of every difference, so all are whole numbers;
+    ``doubled_smaller`` is twice the smaller sum.  The chance of each sum from 0 up to it is built rank by
+    rank: with either sign equally likely, half the chance stays and half moves up by the rank.  Chances
+    neither overflow nor need a bound on the number of ranks; the work is ranks times the smaller sum.
+    """
+    first = F.transform(F.sequence(F.lit(0), doubled_smaller.cast("int")), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+
+    def with_rank(chances: Column, rank: Column) -> Column:
         return F.transform(
-            counts, lambda c, s: c + F.when(s >= rank, F.get(counts, s - rank)).otherwise(F.lit(0.0))
+            chances, lambda c, s: (c + F.when(s >= rank, F.get(chances, s - rank)).otherwise(F.lit(0.0))) / 2.0
         )
 
-    return F.aggregate(F.sequence(F.lit(1), n.cast("int")), first, with_rank)
-
-
-def signed_rank_exact(smaller: Column, n: Column) -> Column:
-    """Exact two-sided p-value of the smaller signed-rank sum, without ties."""
-    below = F.aggregate(
-        F.slice(signed_rank_counts(n), F.lit(1), F.floor(smaller).cast("int") + 1), F.lit(0.0), lambda t, c: t + c
-    )
-    return F.least(2.0 * below / F.pow(F.lit(2.0), n.cast("double")), F.lit(1.0))
+    chances = F.aggregate(doubled_ranks, first, with_rank)
+    return F.least(2.0 * F.aggregate(chances, F.lit(0.0), lambda total, c: total + c), F.lit(1.0))

@@ -12,7 +12,6 @@ from assay.functions.stats import normal_upper, signed_rank_exact, t_quantile_97
 from assay.operators.metrics import ratio
 
 FLAGS = ("augmentation", "retrieve", "use_speaker", "use_ensemble")
-EXACT_RANKS = 50
 
 
 def variant_summary(results: DataFrame) -> DataFrame:
@@ -100,13 +99,15 @@ def margin_of_error(accuracy: Column, n: Column, z: float = 1.96) -> Column:
     return F.lit(z) * F.sqrt(accuracy * (1.0 - accuracy) / n)
 
 
-def wilcoxon(pairs: DataFrame, *by: str) -> DataFrame:
+def wilcoxon(pairs: DataFrame, *by: str, exact: bool = True) -> DataFrame:
     """One-sided Wilcoxon signed-rank test of a > b per group.
 
     Fewer than two distinct differences give a null p-value; a sum of differences
     of zero or less gives 1.  Zero differences are left out and ties share their
-    mean rank.  Up to :data:`EXACT_RANKS` untied ranks use the exact distribution,
-    the rest the normal one with tie correction.
+    mean rank.  The null distribution is that of the ranks at hand, whatever their
+    number and ties; its work grows with the cube of the ranks of a group, which
+    are the seeds of one comparison.  ``exact=False`` takes the normal distribution
+    with tie correction for all groups instead.
     """
     d = pairs.select(*by, (F.col("a") - F.col("b")).alias("d"))
     whole = d.groupBy(*by).agg(
@@ -120,11 +121,13 @@ def wilcoxon(pairs: DataFrame, *by: str) -> DataFrame:
         "rank", F.col("below") + (F.col("members") + 1) / 2.0
     )
     m = F.col("members").cast("double")
+    twice = F.array_repeat((2 * F.col("below") + F.col("members") + 1).cast("int"), F.col("members").cast("int"))
     sums = ranked.groupBy(*by).agg(
         F.sum("members").alias("n_ranked"),
         F.sum(F.col("rank") * F.col("positive")).alias("w_plus"),
         F.sum(F.col("rank") * (F.col("members") - F.col("positive"))).alias("w_minus"),
         F.sum(m * m * m - m).alias("tie_term"),
+        *([F.flatten(F.collect_list(twice)).alias("doubled")] if exact else []),
     )
     joined = whole.join(sums, list(by), "left") if by else whole.withColumn("_one", F.lit(1)).join(
         sums.withColumn("_one", F.lit(1)), "_one", "left"
@@ -132,12 +135,9 @@ def wilcoxon(pairs: DataFrame, *by: str) -> DataFrame:
     w, n = F.least("w_plus", "w_minus"), F.col("n_ranked").cast("double")
     spread = F.sqrt(n * (n + 1.0) * (2.0 * n + 1.0) / 24.0 - F.col("tie_term") / 48.0)
     by_normal = F.least(2.0 * normal_upper(F.abs(w - n * (n + 1.0) / 4.0) / spread), F.lit(1.0))
-    exact = (F.col("tie_term") == 0) & (F.col("n_ranked") <= EXACT_RANKS) & (F.col("n_ranked") == F.col("n"))
-    # The exact branch is built for a bounded number of ranks only.
-    by_count = signed_rank_exact(w, F.least(F.col("n_ranked"), F.lit(EXACT_RANKS)).cast("int"))
-    two = F.when(exact, by_count).otherwise(by_normal)
+    two = signed_rank_exact(F.col("doubled"), 2 * w) if exact else by_normal
     one = F.when(F.col("distinct_d") < 2, F.lit(None).cast("double")).when(F.col("sum_d") > 0, two / 2.0).otherwise(1.0)
-    return joined.withColumn("p_one_sided", one).drop("tie_term")
+    return joined.withColumn("p_one_sided", one).drop("tie_term", "doubled")
 
 
 def significance_report(results: DataFrame, baselines: DataFrame, alpha: float = 0.05) -> DataFrame:

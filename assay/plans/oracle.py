@@ -599,24 +599,18 @@ _HALF = "2.7764451051977987::DOUBLE * sd_d / sqrt(n::DOUBLE)"
 ORACLE["effect_size"] = f"""WITH {_PAIRS}, {tested('pairs')}
 SELECT model, round(mean_d / sd_d, 6) AS cohens_d, round(0.05::DOUBLE / 6, 6) AS alpha_corrected, round(mean_d - {_HALF}, 6) AS ci_low,
   round(mean_d + {_HALF}, 6) AS ci_high, p_two_sided < 0.05::DOUBLE / 6 AS significant_corrected FROM tested"""
-# Cumulative number of sign patterns of five ranks with a rank sum of at most 0, 1, ..., 15.
-_WAYS = "[1, 2, 3, 5, 7, 10, 13, 16, 19, 22, 25, 27, 29, 30, 31, 32]"
-# Lower half of the normal distribution below -z as a power series; zero differences and ties call for it.
-_ODD = "(2 * i + 1) * ln(z) - (lgamma(2 * i + 2) - i * ln(2.0::DOUBLE) - CASE WHEN i = 0 THEN 0.0::DOUBLE ELSE lgamma(i + 1) END)"
-_TAIL = f"""CASE WHEN z = 0 THEN 0.5::DOUBLE
-  ELSE 0.5::DOUBLE - exp(-z * z / 2.0::DOUBLE) / sqrt(2.0::DOUBLE * pi()) * list_sum(list_transform(range(0, 60), lambda i: exp({_ODD}))) END"""
+# Every sign pattern of the ranks at hand is listed: a bit of ``p`` is the sign of one rank.
+_PATTERN_SUM = "list_sum(list_transform(range(0, len(rs)), lambda i: CASE WHEN (p >> i) & 1 = 1 THEN rs[i + 1] ELSE 0.0::DOUBLE END))"
 ORACLE["wilcoxon"] = f"""WITH {_PAIRS},
 diffs AS (SELECT model, a - b AS d FROM pairs),
 ranked AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0::DOUBLE AS r FROM diffs WHERE d <> 0),
-tied AS (SELECT model, sum(m * m * m - m)::DOUBLE AS tie FROM (SELECT model, count(*) AS m FROM diffs WHERE d <> 0 GROUP BY model, abs(d)) GROUP BY model),
-sums AS (SELECT model, count(*) AS n_ranked, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END)::DOUBLE AS w_minus FROM ranked GROUP BY model),
+sums AS (SELECT model, count(*) AS n_ranked, sum(CASE WHEN d > 0 THEN r ELSE 0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0 END)::DOUBLE AS w_minus,
+  list(r::DOUBLE) AS rs FROM ranked GROUP BY model),
 whole AS (SELECT model, count(*) AS n, count(DISTINCT d) AS distinct_d, sum(d) AS sum_d FROM diffs GROUP BY model),
-standard AS (SELECT *, abs(least(w_plus, w_minus) - n_ranked * (n_ranked + 1) / 4.0::DOUBLE)
-  / sqrt(n_ranked * (n_ranked + 1) * (2 * n_ranked + 1) / 24.0::DOUBLE - tie / 48.0::DOUBLE) AS z FROM sums JOIN tied USING (model) JOIN whole USING (model)),
-two_sided AS (SELECT *, CASE WHEN tie = 0 AND n_ranked = n THEN least(2 * {_WAYS}[floor(least(w_plus, w_minus))::INTEGER + 1] / 32.0::DOUBLE, 1.0::DOUBLE)
-  ELSE least(2.0::DOUBLE * ({_TAIL}), 1.0::DOUBLE) END AS p FROM standard)
+patterns AS (SELECT model, rs, w_plus, w_minus, unnest(range(0, (1 << n_ranked)::BIGINT)) AS p FROM sums),
+two_sided AS (SELECT model, least(2.0::DOUBLE * count(*) FILTER ({_PATTERN_SUM} <= least(w_plus, w_minus)) / count(*), 1.0::DOUBLE) AS p FROM patterns GROUP BY model)
 SELECT model, n, n_ranked, w_plus, w_minus, round(CASE WHEN distinct_d < 2 THEN NULL WHEN sum_d > 0 THEN p / 2.0::DOUBLE ELSE 1.0::DOUBLE END, 6) AS p_one_sided
-FROM two_sided"""
+FROM two_sided JOIN sums USING (model) JOIN whole USING (model)"""
 ORACLE["significance_report"] = f"""WITH {RESULTS},
 pairs AS (SELECT r.model, r.seed, f.f1_macro AS a, r.f1_macro AS b FROM results r JOIN results f ON r.seed = f.seed AND f.model = 'full' WHERE r.augmentation = 'baseline'),
 {tested('pairs')}

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import pytest
@@ -114,9 +115,43 @@ def test_wilcoxon_exact(spark):
     assert worse.p_one_sided == 1.0
 
 
-def test_wilcoxon_ties_use_the_normal_form(spark):
+def enumerated(d):
+    """One-sided p-value over all sign patterns of the mean ranks of the differences other than zero."""
+    d = [x for x in d if x]
+    ranks = [sum(abs(y) < abs(x) for y in d) + (sum(abs(y) == abs(x) for y in d) + 1) / 2 for x in d]
+    smaller = min(sum(r for x, r in zip(d, ranks) if x > 0), sum(r for x, r in zip(d, ranks) if x < 0))
+    sums = [sum(r for r, up in zip(ranks, signs) if up) for signs in itertools.product((0, 1), repeat=len(d))]
+    return min(2 * sum(s <= smaller for s in sums) / len(sums), 1.0) / 2
+
+
+@pytest.mark.parametrize("d", [
+    [1, 1, -2, 3],
+    [1, 1, 1, 1, -1],
+    [0, 0, 3, 5, -4, 2],
+    [2, -2, 2, -2, 4],
+    [1, 2, 2, 3, 3, 3, -1, -4, 0, 9, 9, 12],
+])
+def test_wilcoxon_equals_all_sign_patterns(spark, d):
+    row = rp.wilcoxon(pairs(spark, [float(x) for x in d], [0.0] * len(d)), "model").first()
+    assert row.n == len(d) and row.n_ranked == sum(x != 0 for x in d)
+    assert row.p_one_sided == pytest.approx(enumerated(d), rel=1e-12)
+
+
+def test_wilcoxon_of_many_ranks(spark):
+    """No number of ranks changes the form: 60 and 120 untied ranks against counts in whole numbers."""
+    for n in (60, 120):
+        d = [k if k % 3 else -k for k in range(1, n + 1)]
+        smaller = sum(-x for x in d if x < 0)
+        ways = [1] + [0] * smaller
+        for r in range(1, n + 1):
+            ways = [c + (ways[s - r] if s >= r else 0) for s, c in enumerate(ways)]
+        row = rp.wilcoxon(pairs(spark, [float(x) for x in d], [0.0] * n), "model").first()
+        assert row.p_one_sided == pytest.approx(sum(ways) / 2**n, rel=1e-12)
+
+
+def test_wilcoxon_normal_form(spark):
     # Differences 1, 1, -2, 3: ranks 1.5, 1.5, 3, 4; W- = 3, mean 5, variance 7.5 - 6/48.
-    row = rp.wilcoxon(pairs(spark, [1.0, 1.0, 0.0, 3.0], [0.0, 0.0, 2.0, 0.0]), "model").first()
+    row = rp.wilcoxon(pairs(spark, [1.0, 1.0, 0.0, 3.0], [0.0, 0.0, 2.0, 0.0]), "model", exact=False).first()
     z = 2.0 / math.sqrt(7.5 - 6 / 48)
     assert row.w_plus == 7.0 and row.w_minus == 3.0
     assert row.p_one_sided == pytest.approx(0.5 * math.erfc(z / math.sqrt(2)), rel=1e-9)
