@@ -23,6 +23,8 @@ PAGES_PER_QUERY = 10
 PASSAGE_WORDS = 100
 MIN_SIMILARITY = 0.25
 FALLBACK_CHARS = 100
+# Postings of a block of the impact-ordered index.
+BLOCK_POSTINGS = 128
 # Posting lists longer than this are ranked once per set of such terms.
 HOT_TERM_PAGES = 100_000
 
@@ -85,14 +87,7 @@ def search_pages(
     queries: see :func:`_rank_with_hot_terms`.  Pass ``buckets`` for an index
     written by :func:`write_index` so that unread buckets are pruned.
     """
-    asked = (
-        queries.select("claim_id", F.array_sort(F.array_distinct(tx.terms(F.col("query")))).alias("asked"))
-        .where(F.size("asked") > 0)
-        .withColumn("query_key", F.array_join("asked", " "))
-    )
-    owners = asked.select("claim_id", "query_key")
-    wanted = asked.groupBy("query_key").agg(F.min("claim_id").alias("query_id"), F.first("asked").alias("asked"))
-    wanted = cut(wanted)
+    owners, wanted = _asked(queries)
     query_terms = wanted.select("query_id", F.explode("asked").alias("term"))
 
     terms_asked = query_terms.select("term").distinct()
@@ -116,6 +111,129 @@ def search_pages(
     )
 
 
+def write_blocks(
+    pages: DataFrame, path: str, buckets: int = 256, block: int = BLOCK_POSTINGS, text: str = "extract"
+) -> DataFrame:
+    """Write the impact-ordered index and read it back: ``(term, block, n, top_tf, top_page, entries, bucket)``.
+
+    Postings of a term are in order of falling ``tf``, then rising ``page_id``, and cut into blocks of at most
+    ``block`` postings.  ``top_tf`` and ``top_page`` are a block's first entry: nothing in the block, nor in the
+    term's later ones, ranks before it.  The range partitioning cuts common terms over many tasks, and blocks
+    are grouped by their number in the sorted order, so no task holds all of a term.
+    """
+    rows = postings(pages, text).repartitionByRange(width(pages.sparkSession), "term", F.desc("tf"), "page_id")
+    # The id counts the rows of a sorted partition from 0, with the partition's number in the upper bits.
+    at = F.monotonically_increasing_id()
+    numbered = rows.sortWithinPartitions("term", F.desc("tf"), "page_id").withColumn("block", F.floor(at / block))
+    entry = F.struct((-F.col("tf")).alias("minus_tf"), "page_id")
+    table = numbered.groupBy("term", "block").agg(F.sort_array(F.collect_list(entry)).alias("sorted")).select(
+        "term",
+        "block",
+        F.size("sorted").cast("long").alias("n"),
+        (-F.col("sorted")[0]["minus_tf"]).alias("top_tf"),
+        F.col("sorted")[0]["page_id"].alias("top_page"),
+        F.transform("sorted", lambda e: F.struct(e["page_id"].alias("page_id"), (-e["minus_tf"]).alias("tf"))).alias("entries"),
+        term_bucket(F.col("term"), buckets).alias("bucket"),
+    )
+    table.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
+def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Owners ``(claim_id, query_key)`` and distinct queries ``(query_key, query_id, asked)``."""
+    asked = (
+        queries.select("claim_id", F.array_sort(F.array_distinct(tx.terms(F.col("query")))).alias("asked"))
+        .where(F.size("asked") > 0)
+        .withColumn("query_key", F.array_join("asked", " "))
+    )
+    wanted = asked.groupBy("query_key").agg(F.min("claim_id").alias("query_id"), F.first("asked").alias("asked"))
+    return asked.select("claim_id", "query_key"), cut(wanted)
+
+
+def surviving_blocks(terms: DataFrame, heads: DataFrame, floor: DataFrame) -> DataFrame:
+    """``(query_id, term, block)`` of the blocks that may still hold one of a query's best pages.
+
+    ``terms(query_id, term, pages, top_tf)`` with the length and largest count of each list,
+    ``heads(term, block, top_tf, top_page)`` of all blocks, and ``floor(query_id, matched, tf_sum, page_id)``,
+    the page that a query's last place goes to so far.  Queries without a floor keep all blocks.
+
+    A page must match as many terms as the floor, ``m`` of ``L``.  One that lies in none of the
+    ``L - m + 1`` shortest lists can't, so longer lists are only looked up, never gone through.  Where all terms
+    must match, a block whose first count, with the largest counts of the other terms, stays behind the
+    floor has nothing to offer, nor have the blocks after it.
+    """
+    of_query = Window.partitionBy("query_id")
+    ranked = terms.withColumns(
+        {
+            "n_terms": F.count("*").over(of_query),
+            "tops": F.sum("top_tf").over(of_query),
+            "place": F.row_number().over(of_query.orderBy("pages", "term")),
+        }
+    ).join(floor, "query_id", "left")
+    gone_through = ranked.where(F.col("matched").isNull() | (F.col("place") <= F.col("n_terms") - F.col("matched") + 1))
+    lists = gone_through.select(
+        "query_id",
+        "term",
+        # The count that a posting needs, given where all terms must match.
+        F.when(F.col("matched") == F.col("n_terms"), F.col("tf_sum") - (F.col("tops") - F.col("top_tf"))).alias("need_tf"),
+        F.col("page_id").alias("last_page"),
+    )
+    passes = F.col("need_tf").isNull() | (F.col("top_tf") > F.col("need_tf")) | (
+        (F.col("top_tf") == F.col("need_tf")) & (F.col("top_page") <= F.col("last_page"))
+    )
+    return lists.join(heads, "term").where(passes).select("query_id", "term", "block")
+
+
+def search_blocks(
+    queries: DataFrame,
+    blocks: DataFrame,
+    limit: int = PAGES_PER_QUERY,
+    buckets: int | None = None,
+) -> DataFrame:
+    """:func:`search_pages` on an index written by :func:`write_blocks`; same rows, no bound for common terms.
+
+    The first block of each term gives every query its first candidates.  Their whole scores give a floor, the
+    best ``limit`` pages so far, and :func:`surviving_blocks` leaves those blocks that may hold a better page.
+    Only their postings meet the query.  Counts of a candidate's other terms come by an equi-join on page and
+    term, with lists that are read once for all queries.  The result is exact for any size of a block.
+    """
+    owners, wanted = _asked(queries)
+    query_terms = cut(wanted.select("query_id", F.explode("asked").alias("term")))
+    terms_asked = query_terms.select("term").distinct()
+    keys = ["term"]
+    if buckets is not None:
+        terms_asked = terms_asked.withColumn("bucket", term_bucket(F.col("term"), buckets))
+        keys = ["bucket", "term"]
+    read = cut(blocks.join(terms_asked, keys, "left_semi").drop("bucket"))
+
+    heads = read.select("term", "block", "top_tf", "top_page")
+    lists = read.groupBy("term").agg(
+        F.sum("n").alias("pages"), F.max("top_tf").alias("top_tf"), F.min("block").alias("first_block")
+    )
+    terms = cut(query_terms.join(lists, "term"))
+    pages_of = read.select("term", F.inline("entries"))
+
+    def scored(chosen: DataFrame) -> DataFrame:
+        """Whole scores of all pages in the chosen ``(query_id, term, block)``."""
+        met = chosen.join(read, ["term", "block"]).select("query_id", F.explode("entries.page_id").alias("page_id"))
+        looked_up = met.distinct().join(terms.select("query_id", "term"), "query_id").join(pages_of, ["page_id", "term"])
+        return _score(looked_up, "query_id")
+
+    first = cut(scored(terms.select("query_id", "term", F.col("first_block").alias("block"))))
+    best = cut(_best_pages(first, "query_id", limit))
+    floor = best.where(F.col("page_rank") == limit).select("query_id", "matched", "tf_sum", "page_id")
+    left = surviving_blocks(terms.select("query_id", "term", "pages", "top_tf"), heads, floor)
+    # First blocks have been scored.
+    left = left.join(terms.select("query_id", "term", F.col("first_block").alias("block")), ["query_id", "term", "block"], "left_anti")
+    hits = scored(cut(left)).unionByName(best.drop("page_rank")).distinct()
+    ranked = _best_pages(hits, "query_id", limit)
+    return (
+        owners.join(wanted.select("query_key", "query_id"), "query_key")
+        .join(ranked, "query_id")
+        .select("claim_id", "page_id", "matched", "tf_sum", "page_rank")
+    )
+
+
 def _meet(query_terms: DataFrame, read: DataFrame) -> DataFrame:
     """Postings of each query's terms, laid out by query.
 

@@ -103,6 +103,14 @@ def candidate_pages_stored_index(spark, sf_dir):
     return rt.search_pages(queries, index, buckets=16)
 
 
+@query
+def candidate_pages_blocks(spark, sf_dir):
+    """The same search on the impact-ordered index: blocks that can't hold one of the best pages never meet a query."""
+    index = rt.write_blocks(v.corpus(spark, sf_dir), scratch_path(spark, "blocks"), buckets=16)
+    queries = rt.keyword_queries(v.probes(spark, sf_dir), v.STOPWORDS)
+    return rt.search_blocks(queries, index, buckets=16)
+
+
 @query
 def chunk_passages(spark, sf_dir):
     return rt.passages(v.corpus(spark, sf_dir))

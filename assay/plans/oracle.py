@@ -208,7 +208,7 @@ _PROBE_SEARCH = f"{PROBES}, {CORPUS}, {queries_of('probes')}, {index_of('corpus'
 
 ORACLE["keyword_query"] = f"WITH {CLAIMS}, {queries_of('claims')} SELECT claim_id, query FROM queries"
 ORACLE["corpus_index"] = f"WITH {CORPUS}, {index_of('corpus')} SELECT term, page_id, tf FROM index"
-for _name in ("candidate_pages", "candidate_pages_hot_terms", "candidate_pages_stored_index"):
+for _name in ("candidate_pages", "candidate_pages_hot_terms", "candidate_pages_stored_index", "candidate_pages_blocks"):
     ORACLE[_name] = f"WITH {_PROBE_SEARCH} SELECT claim_id, page_id, matched, tf_sum, page_rank FROM candidates"
 ORACLE["chunk_passages"] = f"""WITH {CORPUS}
 SELECT page_id, (generate_subscripts(list, 1) - 1)::INTEGER AS chunk_no, unnest(list) AS text

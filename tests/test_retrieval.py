@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from assay.functions.uncertainty import with_budget
 from assay.operators import retrieval as rt
@@ -84,6 +85,54 @@ def test_stored_index_prunes_buckets(spark, small_corpus):
     )
 
 
+@pytest.mark.parametrize("block", [1, 3, 16, 10**6])
+def test_block_search_equals_brute_force_for_any_block(spark, small_corpus, block):
+    queries, pages, raw_queries, raw_pages = small_corpus
+    index = rt.write_blocks(pages, scratch_path(spark, "blocks"), buckets=4, block=block)
+    got = rt.search_blocks(queries, index, buckets=4).collect()
+    assert sorted((r.claim_id, r.page_id, r.matched, r.tf_sum, r.page_rank) for r in got) == brute_force_search(
+        raw_queries, raw_pages, 10
+    )
+
+
+def test_blocks_are_ordered_and_whole(spark, small_corpus):
+    _, pages, _, raw_pages = small_corpus
+    rows = rt.write_blocks(pages, scratch_path(spark, "blocks"), buckets=4, block=16).orderBy("term", "block").collect()
+    got = {}
+    for r in rows:
+        assert 0 < r.n == len(r.entries) <= 16 and (r.top_page, r.top_tf) == tuple(r.entries[0])
+        got.setdefault(r.term, []).extend((-e.tf, e.page_id) for e in r.entries)
+    want = {}
+    for p, t in raw_pages:
+        for term, n in Counter(terms(t)).items():
+            want.setdefault(term, []).append((-n, p))
+    assert got == {term: sorted(entries) for term, entries in want.items()}
+
+
+def test_blocks_behind_the_floor_are_not_read(spark):
+    """Common terms, ties and copied queries: exact, and few postings of the long lists meet a query."""
+    pages = [(i, "common " * (i % 5 + 1) + ("rare%d " % (i % 100)) * (i % 3 + 1) + ("second " * (i % 4) if i % 2 else "")) for i in range(3000)]
+    texts = ["common", "common second", "common second absent", "rare7 common second", "rare7", "absent", ""]
+    queries = [(i, texts[i % len(texts)]) for i in range(21)]
+    qs = spark.createDataFrame(queries, "claim_id long, query string")
+    index = rt.write_blocks(spark.createDataFrame(pages, "page_id long, extract string"), scratch_path(spark, "blocks"), buckets=4, block=32)
+    for limit in (1, 10, 5000):
+        got = rt.search_blocks(qs, index, limit=limit, buckets=4).collect()
+        assert sorted((r.claim_id, r.page_id, r.matched, r.tf_sum, r.page_rank) for r in got) == brute_force_search(queries, pages, limit)
+
+    lists = index.groupBy("term").agg(F.sum("n").alias("pages"), F.max("top_tf").alias("top_tf"))
+    asked = spark.createDataFrame([(q, t) for q, text in enumerate(texts) for t in set(text.split())], "query_id long, term string")
+    found = brute_force_search([(q, text) for q, text in enumerate(texts) if text], pages, 10)
+    floor = spark.createDataFrame([(q, m, s, p) for q, p, m, s, r in found if r == 10], "query_id long, matched long, tf_sum long, page_id long")
+    met = asked.join(lists, "term")
+    left = rt.surviving_blocks(met, index.select("term", "block", "top_tf", "top_page"), floor).join(index, ["term", "block"])
+    rows = {r.query_id: r["sum(n)"] for r in left.groupBy("query_id").sum("n").collect()}
+    before = {r.query_id: r["sum(pages)"] for r in met.groupBy("query_id").sum("pages").collect()}
+    assert before[0] == 3000 and rows[0] <= 32  # one list, ended by its first block
+    assert before[1] == 4500 and rows[1] <= 1500  # only the shorter list is gone through
+    assert sum(rows.values()) < sum(before.values()) / 4
+
+
 def brute_force_evidence(claims, pages, stop, threshold=0.25):
     """(claim id -> k passages) with the search of the keyword query and of the claim's start."""
     texts = dict(pages)
