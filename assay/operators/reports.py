@@ -80,6 +80,15 @@ def paired_ttest(pairs: DataFrame, *by: str) -> DataFrame:
     return tested.withColumn("p_one_sided", one)
 
 
+def drop_test(drops: DataFrame, first: str, second: str, by: str = "attack", clean: str = "clean", drop: str = "robustness_drop") -> DataFrame:
+    """Paired t-test per attack, over seeds, of whether model ``first`` drops more than ``second``.
+
+    ``drops(model, seed, <by>, <drop>)``; ``a`` and ``b`` of the test are the drops of the two models.
+    """
+    rows = drops.where(F.col(by) != clean)
+    return paired_ttest(paired(rows.where(F.col("model") == first), rows.where(F.col("model") == second), drop, by), by)
+
+
 def with_effect(tested: DataFrame, n_tests: Column | int, alpha: float = 0.05) -> DataFrame:
     """Add Cohen's d, the corrected threshold, the verdict under it and a 95 % interval of the mean."""
     n_tests = n_tests if isinstance(n_tests, Column) else F.lit(n_tests)

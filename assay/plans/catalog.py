@@ -146,6 +146,19 @@ def evidence_build(spark, sf_dir):
     return _flat(found)
 
 
+@query
+def evidence_build_resumed(spark, sf_dir):
+    """The flagship as a job in two runs on a stored index: the first half of the claims, then what is pending."""
+    from assay.plans.evidence_build import build_evidence
+
+    claims, pages = v.short_claims(spark, sf_dir), v.corpus(spark, sf_dir)
+    index = rt.write_index(pages, scratch_path(spark, "index"), buckets=16)
+    path = scratch_path(spark, "evidence")
+    options = {"index": index, "buckets": 16, "stopwords": v.STOPWORDS, "hedge": v.HEDGE, "vague": v.VAGUE}
+    build_evidence(claims, pages, path, max_claims=claims.count() // 2, **options)
+    return _flat(build_evidence(claims, pages, path, **options))
+
+
 @query
 def fallback_retrieval(spark, sf_dir):
     """Documents against the small probe corpus: many first searches find nothing."""
@@ -421,6 +434,40 @@ def attack_sets(spark, sf_dir):
     return _digest_rows(aug.attack_sets(v.short_claims(spark, sf_dir), v.lexicon(spark)), "attack", "speaker")
 
 
+@query
+def attack_sets_over_seeds(spark, sf_dir):
+    """Every labelled claim under every attack with the draws of five seeds, in one job."""
+    attacked = aug.attack_sets(v.labelled(spark, sf_dir), v.lexicon(spark), seeds=v.SEEDS)
+    return _digest_rows(attacked, "attack", "seed")
+
+
+def _rule_predictions(spark, sf_dir):
+    """Two rules on clean and attacked texts, all seeds in one pass: hedged claims and claims of long words count as 1."""
+    from assay.plans.experiments import attack_predictions
+
+    class Rules:
+        def predict(self, claims, evidence=None):
+            n_words = F.size(tx.words(F.col("claim")))
+            hedged = F.arrays_overlap(tx.words(F.lower("claim")), F.array(*[F.lit(w) for w in v.HEDGE]))
+            rules = F.array(
+                F.struct(F.lit("hedged").alias("model"), F.when(hedged, 1).otherwise(0).alias("pred")),
+                F.struct(F.lit("long_words").alias("model"), F.when(F.length("claim") >= 6 * n_words, 1).otherwise(0).alias("pred")),
+            )
+            return claims.select("*", F.inline(rules))
+
+    return attack_predictions(Rules(), v.labelled(spark, sf_dir), v.lexicon(spark), seeds=v.SEEDS)
+
+
+@query
+def robustness_over_seeds(spark, sf_dir):
+    """Drops of two rules under attack over five seeds, and whether one drops more than the other on the same seeds."""
+    from assay.plans.experiments import robustness
+
+    drops = robustness(_rule_predictions(spark, sf_dir), within=("model", "seed"))
+    tested = rp.drop_test(drops, "long_words", "hedged")
+    return _rounded(tested, "mean_a", "mean_b", "mean_d", "sd_d", "t", "p_two_sided", "p_one_sided")
+
+
 # --- Vectors -----------------------------------------------------------------------------------
 
 

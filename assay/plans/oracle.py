@@ -250,6 +250,7 @@ evidence AS (
 _FLAT = """SELECT claim_id, k_used, n_candidates, n_passages, n_kept, used_fallback,
   md5(coalesce(array_to_string(passages, ' [SEP] '), '')) AS evidence_md5 FROM evidence"""
 ORACLE["evidence_build"] = f"WITH {SHORT}, {CORPUS}, {evidence_rows('short_claims', 'corpus')} {_FLAT}"
+ORACLE["evidence_build_resumed"] = ORACLE["evidence_build"]
 ORACLE["fallback_retrieval"] = f"""WITH {CLAIMS}, small AS (SELECT item_id AS page_id, text AS extract FROM benchmark),
 {evidence_rows('claims', 'small')} {_FLAT}"""
 ORACLE["retrieval_fill_rate"] = f"""WITH {PROBES}, {CORPUS}, {evidence_rows('probes', 'corpus')}
@@ -611,6 +612,21 @@ patterns AS (SELECT model, rs, w_plus, w_minus, unnest(range(0, (1 << n_ranked):
 two_sided AS (SELECT model, least(2.0::DOUBLE * count(*) FILTER ({_PATTERN_SUM} <= least(w_plus, w_minus)) / count(*), 1.0::DOUBLE) AS p FROM patterns GROUP BY model)
 SELECT model, n, n_ranked, w_plus, w_minus, round(CASE WHEN distinct_d < 2 THEN NULL WHEN sum_d > 0 THEN p / 2.0::DOUBLE ELSE 1.0::DOUBLE END, 6) AS p_one_sided
 FROM two_sided JOIN sums USING (model) JOIN whole USING (model)"""
+_ATTACK_LEVELS = "(VALUES ('synonym_p15', 0.15::DOUBLE), ('synonym_p30', 0.3::DOUBLE), ('synonym_p50', 0.5::DOUBLE)) a(attack, p)"
+_ATTACKED_SEEDS = f"""{CLAIMS}, {_lexicon()},
+spread AS (SELECT c.*, s.seed, a.attack, a.p FROM labelled c, {_SEEDS}, {_ATTACK_LEVELS}),
+{substituted('spread', 't.p', "concat_ws(':', t.claim_id, t.seed)", 'done', 'claim_id, attack, seed')}"""
+ORACLE["attack_sets_over_seeds"] = f"WITH {_ATTACKED_SEEDS} SELECT claim_id, attack, seed, {_DIGEST} FROM done"
+ORACLE["robustness_over_seeds"] = f"""WITH {_ATTACKED_SEEDS},
+texts AS (SELECT attack, seed, label, claim FROM done UNION ALL SELECT 'clean', s.seed, c.label, c.claim FROM labelled c, {_SEEDS}),
+ruled AS (SELECT 'hedged' AS model, attack, seed, label, len(list_intersect({words('lower(claim)')}, {names(v.HEDGE)})) > 0 AS yes FROM texts
+  UNION ALL SELECT 'long_words', attack, seed, label, length(claim) >= 6 * len({words('claim')}) FROM texts),
+accuracies AS (SELECT model, attack, seed, avg((yes::INTEGER = label)::INTEGER)::DOUBLE AS accuracy FROM ruled GROUP BY model, attack, seed),
+drops AS (SELECT g.model, g.attack, g.seed, c.accuracy - g.accuracy AS d FROM accuracies g JOIN accuracies c
+  ON g.model = c.model AND g.seed = c.seed AND c.attack = 'clean' WHERE g.attack <> 'clean'),
+seed_pairs AS (SELECT x.attack AS model, x.seed, x.d AS a, y.d AS b FROM drops x JOIN drops y
+  ON x.attack = y.attack AND x.seed = y.seed AND x.model = 'long_words' AND y.model = 'hedged'), {tested('seed_pairs')}
+SELECT model AS attack, n, {_TEST_COLUMNS} FROM tested"""
 ORACLE["significance_report"] = f"""WITH {RESULTS},
 pairs AS (SELECT r.model, r.seed, f.f1_macro AS a, r.f1_macro AS b FROM results r JOIN results f ON r.seed = f.seed AND f.model = 'full' WHERE r.augmentation = 'baseline'),
 {tested('pairs')}

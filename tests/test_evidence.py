@@ -70,6 +70,23 @@ def test_build_resumes_and_is_bounded(spark):
     assert again.count() == 12 and rs.read_evidence(spark, path).count() == 12
 
 
+def test_uncommitted_part_is_written_anew(spark):
+    """Rows of a part without its record don't count: they are not read, their claims stay pending, the part is replaced."""
+    claims = spark.createDataFrame([(i, f"alpha beta {i}") for i in range(8)], "claim_id long, claim string")
+    pages = spark.createDataFrame(PAGES, "page_id long, extract string")
+    path, whole = scratch_path(spark, "build"), scratch_path(spark, "build")
+    build_evidence(claims, pages, path, stopwords=["the"], max_claims=3)
+    stopped = rs.read_evidence(spark, path).withColumn("claim_id", F.col("claim_id") + 3).withColumn("claim", F.lit("half"))
+    stopped.write.parquet(f"{path}/rows/part=1")
+    assert rs.read_evidence(spark, path).count() == 3
+    last = build_evidence(claims, pages, path, stopwords=["the"])
+    want = build_evidence(claims, pages, whole, stopwords=["the"])
+    assert sorted(map(str, last.collect())) == sorted(map(str, want.collect())) and last.count() == 8
+    assert rs.committed_parts(spark, path) == [0, 1] and rs.committed_parts(spark, whole) == [0]
+    again = build_evidence(claims.where("claim_id < 2"), pages, path, resume=False, stopwords=["the"])
+    assert again.count() == 2 and rs.read_evidence(spark, path).count() == 2 and rs.committed_parts(spark, path) == [2]
+
+
 def test_missing_table_is_an_error(spark):
     with pytest.raises(FileNotFoundError):
         rs.read_evidence(spark, scratch_path(spark, "absent"))
