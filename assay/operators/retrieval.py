@@ -23,8 +23,8 @@ PAGES_PER_QUERY = 10
 PASSAGE_WORDS = 100
 MIN_SIMILARITY = 0.25
 FALLBACK_CHARS = 100
-# Postings of a block of the impact-ordered index.
-BLOCK_POSTINGS = 128
+# Neighbouring pages that share the blocks of the impact-ordered index.
+BLOCK_PAGES = 1024
 # Posting lists longer than this are ranked once per set of such terms.
 HOT_TERM_PAGES = 100_000
 
@@ -112,27 +112,27 @@ def search_pages(
 
 
 def write_blocks(
-    pages: DataFrame, path: str, buckets: int = 256, block: int = BLOCK_POSTINGS, text: str = "extract"
+    pages: DataFrame, path: str, buckets: int = 256, block: int = BLOCK_PAGES, text: str = "extract"
 ) -> DataFrame:
     """Write the impact-ordered index and read it back: ``(term, block, n, top_tf, top_page, entries, bucket)``.
 
-    Postings of a term are in order of falling ``tf``, then rising ``page_id``, and cut into blocks of at most
-    ``block`` postings.  ``top_tf`` and ``top_page`` are a block's first entry: nothing in the block, nor in the
-    term's later ones, ranks before it.  The range partitioning cuts common terms over many tasks, and blocks
-    are grouped by their number in the sorted order, so no task holds all of a term.
+    A block holds the postings of one term with one ``tf`` from ``block`` neighbouring pages of the input, in order of
+    ``page_id``; ``top_tf`` and ``top_page`` are its first entry, and ``block`` orders the blocks of a term by falling
+    count, then by first page.  Pages meet in a block within their task already, so blocks are shuffled, not
+    postings, and no task holds all of a term.
     """
-    rows = postings(pages, text).repartitionByRange(width(pages.sparkSession), "term", F.desc("tf"), "page_id")
-    # The id counts the rows of a sorted partition from 0, with the partition's number in the upper bits.
-    at = F.monotonically_increasing_id()
-    numbered = rows.sortWithinPartitions("term", F.desc("tf"), "page_id").withColumn("block", F.floor(at / block))
-    entry = F.struct((-F.col("tf")).alias("minus_tf"), "page_id")
-    table = numbered.groupBy("term", "block").agg(F.sort_array(F.collect_list(entry)).alias("sorted")).select(
+    numbered = pages.select("page_id", F.col(text).alias("_text"), F.floor(F.monotonically_increasing_id() / block).alias("_group"))
+    entry = F.explode(tx.counted(tx.terms(F.col("_text")))).alias("entry")
+    rows = numbered.select("page_id", "_group", entry).select(
+        F.col("entry.term").alias("term"), F.col("entry.n").cast("long").alias("tf"), "_group", "page_id"
+    )
+    table = rows.groupBy("term", "tf", "_group").agg(F.sort_array(F.collect_list("page_id")).alias("ids")).select(
         "term",
-        "block",
-        F.size("sorted").cast("long").alias("n"),
-        (-F.col("sorted")[0]["minus_tf"]).alias("top_tf"),
-        F.col("sorted")[0]["page_id"].alias("top_page"),
-        F.transform("sorted", lambda e: F.struct(e["page_id"].alias("page_id"), (-e["minus_tf"]).alias("tf"))).alias("entries"),
+        F.struct((-F.col("tf")).alias("minus_tf"), F.col("ids")[0].alias("top_page")).alias("block"),
+        F.size("ids").cast("long").alias("n"),
+        F.col("tf").alias("top_tf"),
+        F.col("ids")[0].alias("top_page"),
+        F.transform("ids", lambda i: F.struct(i.alias("page_id"), F.col("tf").alias("tf"))).alias("entries"),
         term_bucket(F.col("term"), buckets).alias("bucket"),
     )
     table.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
@@ -192,7 +192,7 @@ def search_blocks(
 ) -> DataFrame:
     """:func:`search_pages` on an index written by :func:`write_blocks`; same rows, no bound for common terms.
 
-    The first block of each term gives every query its first candidates.  Their whole scores give a floor, the
+    The first blocks of each term, ``limit`` postings at least, give every query its first candidates.  Their whole scores give a floor, the
     best ``limit`` pages so far, and :func:`surviving_blocks` leaves those blocks that may hold a better page.
     Only their postings meet the query.  Counts of a candidate's other terms come by an equi-join on page and
     term, with lists that are read once for all queries.  The result is exact for any size of a block.
@@ -207,9 +207,10 @@ def search_blocks(
     read = cut(blocks.join(terms_asked, keys, "left_semi").drop("bucket"))
 
     heads = read.select("term", "block", "top_tf", "top_page")
-    lists = read.groupBy("term").agg(
-        F.sum("n").alias("pages"), F.max("top_tf").alias("top_tf"), F.min("block").alias("first_block")
-    )
+    lists = read.groupBy("term").agg(F.sum("n").alias("pages"), F.max("top_tf").alias("top_tf"))
+    earlier = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = read.select("term", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+    opening = cut(ahead.where(F.col("ahead") < limit).select("term", "block"))
     terms = cut(query_terms.join(lists, "term"))
     pages_of = read.select("term", F.inline("entries"))
 
@@ -219,12 +220,12 @@ def search_blocks(
         looked_up = met.distinct().join(terms.select("query_id", "term"), "query_id").join(pages_of, ["page_id", "term"])
         return _score(looked_up, "query_id")
 
-    first = cut(scored(terms.select("query_id", "term", F.col("first_block").alias("block"))))
+    first = cut(scored(terms.select("query_id", "term").join(opening, "term")))
     best = cut(_best_pages(first, "query_id", limit))
     floor = best.where(F.col("page_rank") == limit).select("query_id", "matched", "tf_sum", "page_id")
     left = surviving_blocks(terms.select("query_id", "term", "pages", "top_tf"), heads, floor)
-    # First blocks have been scored.
-    left = left.join(terms.select("query_id", "term", F.col("first_block").alias("block")), ["query_id", "term", "block"], "left_anti")
+    # The first blocks have been scored.
+    left = left.join(opening, ["term", "block"], "left_anti")
     hits = scored(cut(left)).unionByName(best.drop("page_rank")).distinct()
     ranked = _best_pages(hits, "query_id", limit)
     return (

@@ -101,12 +101,14 @@ def test_blocks_are_ordered_and_whole(spark, small_corpus):
     got = {}
     for r in rows:
         assert 0 < r.n == len(r.entries) <= 16 and (r.top_page, r.top_tf) == tuple(r.entries[0])
+        assert {e.tf for e in r.entries} == {r.top_tf} and sorted(r.entries) == r.entries
+        assert tuple(r.block) == (-r.top_tf, r.top_page)
         got.setdefault(r.term, []).extend((-e.tf, e.page_id) for e in r.entries)
     want = {}
     for p, t in raw_pages:
         for term, n in Counter(terms(t)).items():
             want.setdefault(term, []).append((-n, p))
-    assert got == {term: sorted(entries) for term, entries in want.items()}
+    assert {term: sorted(entries) for term, entries in got.items()} == {term: sorted(entries) for term, entries in want.items()}
 
 
 def test_blocks_behind_the_floor_are_not_read(spark):
