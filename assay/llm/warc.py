@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.session import cut
+from assay.session import cut, width
 
 # Bytes of records that a frame and a bundle take at most, one record at least.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 18, 32 << 20
@@ -223,7 +223,8 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
                         )
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return index.select("bundle").distinct().mapInArrow(read, schema)
+    # A named number of partitions: adaptive execution would merge the short list of names, and one task would read all bundles.
+    return index.select("bundle").distinct().repartition(width(spark), "bundle").mapInArrow(read, schema)
 
 
 def _facts(warc: dict[str, str], http: dict[str, str], payload: bytes) -> tuple:
