@@ -95,8 +95,9 @@ def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return score_documents(table(spark, folder, "documents"))
 
 
-# Shares of all tokens that the mixed corpus should have.
-DOMAIN_WEIGHTS = {"good": 0.8, "poor": 0.2, "toxic": 0.0}
+# Shares of all tokens that the mixed corpus should have.  No rates reach a share of zero, as all probabilities are above it:
+# the least squares then rest on a handful of documents.
+DOMAIN_WEIGHTS = {"good": 0.8, "poor": 0.18, "toxic": 0.02}
 
 
 @query

@@ -5,10 +5,13 @@ Rates r >= 0 then solve a least-squares problem,
 
     minimise  g' W g,   g_k = (sum over documents of r t p_k - target_k) / total tokens,
 
-with t a document's tokens and W the inverse of the second moments of p.  Of all rates with the least squares those nearest
-to 1 are r = max(0, 1 - p . h) for one vector h of K multipliers.  Newton steps find it, with a weight on the distance to 1
-that falls until the gradient over all documents shows that nothing is left to gain.  A step needs K and K * K sums only, and
-the rates follow from a document's own probabilities and h, so nothing but sums leaves a task.
+with t a document's tokens and W the inverse of the second moments of p.  Projected gradient steps lead there from r = 1: each
+lowers a document's rate by p . u, never below zero, with u = M^-1 g and M the second moments of the documents above zero, which
+makes a step exact as long as no further rate ends at zero.  Targets within reach take some steps.  Where the squares stop falling
+the targets are out of reach.  Of all rates with the least squares those nearest to 1 are then r = max(0, 1 - p . h) for one vector
+h of K multipliers, found by Newton steps with a weight on the distance to 1 that falls until the gradient over all documents shows
+that nothing is left to gain.  Steps of both kinds need K and K * K sums only, and the rates follow from a document's own
+probabilities and those vectors, so nothing but sums leaves a task.
 """
 
 from __future__ import annotations
@@ -33,7 +36,10 @@ FEATURES, PENALTY, ITERATIONS = 1 << 15, 0.002, 60
 # be exceeded; both are proven by the gradient.
 TOLERANCE, EXCESS = 1e-5, 0.01
 
-# Step lengths that one pass tries, and the factor by which the weight on the distance to 1 falls.
+# Projected gradient steps; targets within reach take fewer than ten, and rates are expressions that grow with each.
+STEPS = 40
+
+# Out of reach: step lengths that one pass tries, and the factor by which the weight on the distance to 1 falls.
 LENGTHS, FALL = (1.0, 0.5, 0.2, 0.05), 0.03
 
 # Passes after which the search is given up with an error; it takes some dozens.
@@ -90,11 +96,39 @@ def with_posteriors(docs: DataFrame, model, domains: tuple[str, ...] = DOMAINS,
 
 def _rate(steps: list[np.ndarray]) -> Column:
     rate = F.lit(1.0)
-    for h in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.get("p", F.lit(k)) * float(x) for k, x in enumerate(h)), F.lit(0.0)))
+    for u in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum((F.get("p", F.lit(k)) * float(x) for k, x in enumerate(u)), F.lit(0.0)))
     return rate
 
 
+def _projected(scored: DataFrame, total: float, target: np.ndarray, second: np.ndarray, tolerance: float, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, bool]:
+    """The vectors u of the projected gradient steps, the totals over ``total`` after them, and whether those meet the targets.
+
+    Ends where they do, where the squares no longer fall, which is undone, or after ``steps`` steps.
+    """
+    weight, k = np.linalg.inv(second), len(target)
+    taken: list[np.ndarray] = []
+    before, value = target, np.inf
+    while True:
+        rows = scored.where("n_tokens > 0").select(
+            (F.col("n_tokens") / total).alias("t"), *[F.get("p", F.lit(i)).alias(f"p{i}") for i in range(k)], _rate(taken).alias("r")
+        )
+        sums = [F.expr(f"sum(t * r * p{i})").alias(f"s{i}") for i in range(k)]
+        sums += [F.expr(f"sum(if(r > 0, t * p{i} * p{j}, 0))").alias(f"m{i}_{j}") for i in range(k) for j in range(i + 1)]
+        now = rows.agg(*sums).first()
+        totals = np.array([now[f"s{i}"] for i in range(k)])
+        gap = totals - target
+        if np.abs(gap).max() <= tolerance:
+            return taken, totals, True
+        if gap @ weight @ gap >= value:
+            return taken[:-1], before, False
+        if len(taken) == steps:
+            return taken, totals, False
+        before, value = totals, gap @ weight @ gap
+        moments = np.array([[now[f"m{max(i, j)}_{min(i, j)}"] for j in range(k)] for i in range(k)])
+        taken.append(np.linalg.solve(moments + 1e-6 * np.eye(k), gap))
+
+
 def _multiplied(h: np.ndarray) -> Column:
     return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.get("p", F.lit(k)) * float(x) for k, x in enumerate(h)), F.lit(0.0)))
 
@@ -148,12 +182,11 @@ def _multipliers(scored: DataFrame, total: float, target: np.ndarray, second: np
     raise RuntimeError(f"no least-squares rates after {PASSES} passes: {gap} from the targets, excess up to {excess}")
 
 
-def fit_rates(scored: DataFrame, targets: list[float], steps: int | None = None, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
+def fit_rates(scored: DataFrame, targets: list[float], tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
     """The rate of a row of ``scored`` (n_tokens, p) as a column, and the token totals it leads to.
 
     ``targets`` are tokens per domain.  Targets that no rates can reach are met in the least-squares sense, which may leave
-    few documents with high rates.  With ``steps``, so many plain gradient steps from 1 are taken in place of that, less if
-    all targets are met.  Without tokens every rate is 1.
+    few documents with high rates.  Without tokens every rate is 1.
     """
     k = len(targets)
     p = [F.get("p", F.lit(i)) for i in range(k)]
@@ -163,33 +196,38 @@ def fit_rates(scored: DataFrame, targets: list[float], steps: int | None = None,
     if not total:
         return F.lit(1.0), [0.0] * k
     second = np.array([[moments[f"m{i}{j}"] / total for j in range(k)] for i in range(k)]) + 1e-6 * np.eye(k)
-    if steps is None:
-        h, totals = _multipliers(scored, total, np.array(targets) / total, second, tolerance)
-        return _multiplied(h), list(totals * total)
-    weight = np.linalg.inv(second)
-    taken: list[np.ndarray] = []
-    while True:
-        rate = _rate(taken)
-        now = scored.select(t.alias("t"), rate.alias("r"), *[x.alias(f"p{i}") for i, x in enumerate(p)]).agg(*[F.sum(F.expr(f"t * r * p{i}")).alias(f"s{i}") for i in range(k)]).first()
-        gap = (np.array(now) - np.array(targets)) / total
-        if np.abs(gap).max() <= tolerance or len(taken) == steps:
-            return rate, list(now)
-        taken.append(weight @ gap)
+    target = np.array(targets) / total
+    taken, totals, met = _projected(scored, total, target, second, tolerance)
+    if met:
+        return _rate(taken), list(totals * total)
+    h, totals = _multipliers(scored, total, target, second, tolerance)
+    return _multiplied(h), list(totals * total)
 
 
 def mixing_rates(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], carry: list[str] | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The ``carry`` columns of every row (all by default), n_tokens, p_<domain> and ``rate``.
+    """The ``carry`` columns of every row (all by default), n_tokens, p_<domain> and ``rate``; and two figures of the whole mixture.
 
-    ``weights`` are shares of all tokens by domain.  A null text has no tokens and the rate of its probabilities; repeated rows
+    ``weights`` are shares of all tokens by domain.  ``target_gap`` is the largest share of all tokens by which a domain's total
+    misses its target, and ``effective_share`` how many tokens of equal rate the mixture is worth, as a share of all tokens:
+    (sum of r t)^2 / (sum of r^2 t * sum of t); both are null without tokens.  A null text has no tokens and the rate of its probabilities; repeated rows
     have equal rates; an empty table gives no rows.  Columns of ``docs`` that carry a name made here are replaced.
     """
     domains = tuple(weights)
-    made = {"n_tokens", "rate", *[f"p_{d}" for d in domains]}
+    made = {"n_tokens", "rate", "target_gap", "effective_share", *[f"p_{d}" for d in domains]}
     own = [c for c in carry or docs.columns if c not in made]
     scored = cut(with_posteriors(docs, fit_classifier(docs, labelled, domains, fit_rows), domains, own))
     total = scored.agg(F.sum("n_tokens")).first()[0] or 0
-    rate, _ = fit_rates(scored, [weights[d] * total for d in domains])
-    return scored.select("doc.*", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], rate.alias("rate"))
+    targets = [weights[d] * total for d in domains]
+    rate, totals = fit_rates(scored, targets)
+    gap, effective = None, None
+    if total:
+        gap = max(abs(a - b) for a, b in zip(totals, targets)) / total
+        used = scored.select(F.col("n_tokens").alias("t"), rate.alias("r")).agg(F.expr("sum(r * t)").alias("a"), F.expr("sum(r * r * t)").alias("b")).first()
+        effective = used.a**2 / (used.b * total) if used.b else 0.0
+    return scored.select(
+        "doc.*", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(domains)], rate.alias("rate"),
+        F.lit(gap).cast("double").alias("target_gap"), F.lit(effective).cast("double").alias("effective_share"),
+    )
 
 
 def without_domain(docs: DataFrame, labelled: DataFrame, unwanted: str = "toxic", domains: tuple[str, ...] = DOMAINS, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.llm.ctw import log_gamma, score_documents
-from assay.llm.mixing import DOMAINS, fit_classifier, fit_rates, label_domains, mixing_rates, with_posteriors, without_domain
+from assay.llm.mixing import DOMAINS, _projected, fit_classifier, fit_rates, label_domains, mixing_rates, with_posteriors, without_domain
 from assay.llm.quality import FLOORS, STATS, judged, robust_estimates, without_rejected
 from tests.llm.cases import no_documents, odd_documents, rows_of
 
@@ -188,21 +188,31 @@ def test_rates_meet_targets(spark):
     docs, labels = labelled(spark)
     rows = mixing_rates(docs, label_domains(labels), {"good": 0.5, "poor": 0.45, "toxic": 0.05}).toPandas()
     totals = np.array([(rows.n_tokens * rows.rate * rows[f"p_{d}"]).sum() for d in DOMAINS]) / rows.n_tokens.sum()
-    assert np.abs(totals - [0.5, 0.45, 0.05]).max() < 1e-3 and (rows.rate >= 0).all()
+    gap = np.abs(totals - [0.5, 0.45, 0.05]).max()
+    assert gap < 1e-5 + 1e-9 and (rows.rate >= 0).all() and np.allclose(rows.target_gap, gap)
+    used = rows.rate * rows.n_tokens
+    assert np.allclose(rows.effective_share, used.sum() ** 2 / (used * rows.rate).sum() / rows.n_tokens.sum())
 
 
-def test_rates_follow_the_gradient_steps(spark):
+@pytest.mark.parametrize("targets,within", [([0.2, 0.15, 0.65], True), ([0.9, 0.0, 0.2], False)])
+def test_rates_follow_the_gradient_steps(spark, targets, within):
     rng = np.random.default_rng(6)
     p = rng.dirichlet([1, 1, 1], 300)
     t = rng.integers(1, 100, 300)
     scored = spark.createDataFrame([(int(a), list(map(float, b))) for a, b in zip(t, p)], "n_tokens long, p array<double>")
-    targets = np.array([0.9, 0.0, 0.2]) * t.sum()  # out of reach: no rate below zero
-    rate, totals = fit_rates(scored, list(targets), steps=12)
-    second = (p * t[:, None]).T @ p / t.sum()
-    w, r = np.linalg.inv(second + 1e-6 * np.eye(3)), np.ones(300)
-    for _ in range(12):
-        r = np.maximum(0, r - p @ (w @ ((p * (t * r)[:, None]).sum(0) - targets) / t.sum()))
-    assert np.allclose(totals, (p * (t * r)[:, None]).sum(0)) and (r == 0).any()
+    targets, share = np.array(targets), t / t.sum()
+    second = (p * share[:, None]).T @ p + 1e-6 * np.eye(3)
+    taken, totals, met = _projected(scored, t.sum(), targets, second, 1e-9)
+    r, values = np.ones(300), []
+    for u in taken:
+        gap = (p * (share * r)[:, None]).sum(0) - targets
+        values.append(gap @ np.linalg.inv(second) @ gap)
+        moments = (p * (share * (r > 0))[:, None]).T @ p + 1e-6 * np.eye(3)
+        assert np.allclose(moments @ u, gap)
+        r = np.maximum(0, r - p @ u)
+    assert np.allclose(totals, (p * (share * r)[:, None]).sum(0)) and (r == 0).any()
+    assert met == within and values == sorted(values, reverse=True)
+    assert len(taken) < 40 and (not within or np.abs(totals - targets).max() <= 1e-9)
 
 
 @pytest.mark.parametrize("targets", [[0.9, 0.0, 0.2], [0.8, 0.2, 0.0], [0.3, 0.3, 0.4]])
