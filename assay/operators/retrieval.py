@@ -8,7 +8,7 @@ their claim; passages that are similar enough survive in page order; the first
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,9 @@ from assay.lexicons import HEDGE_WORDS, VAGUE_WORDS
 from assay.session import cut, width
 
 PAGES_PER_QUERY = 10
+# Adds ``vector`` for the column ``text`` and keeps the other columns.
+Encoder = Callable[[DataFrame], DataFrame]
+
 PASSAGE_WORDS = 100
 MIN_SIMILARITY = 0.25
 FALLBACK_CHARS = 100
@@ -446,6 +449,47 @@ def _kept_per_claim(
     )
 
 
+def encoded_passages(candidates: DataFrame, pages: DataFrame, encode: Encoder, size: int = PASSAGE_WORDS, text: str = "extract") -> DataFrame:
+    """``(page_id, chunk_no, text, vector)``: the passages of all candidate pages.
+
+    A page is cut and its passages are encoded once, however many claims it is a candidate of.
+    """
+    used = candidates.select("page_id").distinct()
+    cut_pages = passages(pages.join(used, "page_id", "left_semi"), size, text)
+    # Models are slow: passages are dealt out by number, and the vectors are stored, as later steps read them twice.
+    return cut(encode(cut_pages.repartition(width(pages.sparkSession), "page_id", "chunk_no")).select("page_id", "chunk_no", "text", "vector"))
+
+
+def _encoded_kept_per_claim(
+    claims: DataFrame, candidates: DataFrame, pages: DataFrame, encode: Encoder,
+    size: int, threshold: float, k_max: int, text: str,
+) -> DataFrame:
+    """The result of ``_kept_per_claim`` with similarities of encoded vectors.
+
+    Vectors meet by page and are gone after the filter; the cut to a claim's ``k`` passages is made
+    before the shuffle by claim, and only passages that are kept are joined with their text.
+    """
+    stored = encoded_passages(candidates, pages, encode, size, text)
+    asked = claims.select("claim_id", F.least("k", F.lit(k_max)).alias("k"), F.coalesce("claim", F.lit("")).alias("text"))
+    own = cut(encode(asked).select("claim_id", "k", F.col("vector").alias("claim_vector")))
+    pairs = own.join(candidates.select("claim_id", "page_id", "page_rank"), "claim_id").join(
+        stored.select("page_id", "chunk_no", F.col("vector").alias("passage_vector")), "page_id"
+    )
+    place = F.row_number().over(Window.partitionBy("claim_id").orderBy("page_rank", "chunk_no"))
+    similar = dense_similar(pairs, threshold).select("claim_id", "k", "page_id", "page_rank", "chunk_no").withColumn("place", place)
+    first = similar.where((F.col("place") <= k_max) & (F.col("place") <= F.col("k")))
+    texts = first.join(stored.select("page_id", "chunk_no", "text"), ["page_id", "chunk_no"])
+    evidence = texts.groupBy("claim_id").agg(F.sort_array(F.collect_list(F.struct("place", "page_id", "chunk_no", "text"))).alias("evidence"))
+    sizes = stored.groupBy("page_id").agg(F.count("*").alias("n"))
+    counts = candidates.join(sizes, "page_id", "left").groupBy("claim_id").agg(
+        F.count("*").alias("n_candidates"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_passages")
+    )
+    return counts.join(evidence, "claim_id", "left").select(
+        "claim_id", "n_candidates", "n_passages",
+        F.transform("evidence", lambda e: F.struct(e["page_id"].alias("page_id"), e["chunk_no"].alias("chunk_no"), e["text"].alias("text"))).alias("evidence"),
+    )
+
+
 def adaptive_passages(
     claims: DataFrame, candidates: DataFrame, pages: DataFrame,
     size: int = PASSAGE_WORDS, threshold: float = MIN_SIMILARITY, k_max: int = 5, text: str = "extract",
@@ -484,6 +528,7 @@ def retrieve(
     hot_pages: int = HOT_TERM_PAGES,
     buckets: int | None = None,
     text: str = "extract",
+    encode: Encoder | None = None,
 ) -> DataFrame:
     """Evidence for every claim: ``(claim_id, claim, k_used, passages, n_candidates,
     n_passages, n_kept, used_fallback)``; ``n_kept`` counts the evidence passages.
@@ -491,6 +536,9 @@ def retrieve(
     The result depends on the claim text alone, so copies of a claim are retrieved
     once and joined back.  A claim without evidence, a null one too, keeps its row
     with an empty list; the counts tell "nothing found" from "all filtered out".
+
+    Passages are compared by their term counts, or with ``encode`` by vectors: it adds ``vector`` for
+    the column ``text`` and keeps the others, like :func:`assay.operators.features.hashed_vectors`.
     """
     index = index if index is not None else postings(pages, text)
     distinct = claims.groupBy("claim").agg(F.min("claim_id").alias("claim_id"))
@@ -503,7 +551,10 @@ def retrieve(
         second = search_pages(again, index, **search).withColumn("used_fallback", F.lit(True))
         found = cut(found.unionByName(second), spread=True)
 
-    kept = _kept_per_claim(scored, found, pages, size, threshold, k_max, text)
+    if encode is None:
+        kept = _kept_per_claim(scored, found, pages, size, threshold, k_max, text)
+    else:
+        kept = _encoded_kept_per_claim(scored, found, pages, encode, size, threshold, k_max, text)
     flags = again.select("claim_id", F.lit(True).alias("used_fallback"))
     nothing = F.array().cast("array<string>")
     per_text = (

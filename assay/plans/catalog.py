@@ -146,6 +146,25 @@ def evidence_build(spark, sf_dir):
     return _flat(found)
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letter_counts(texts: DataFrame) -> DataFrame:
+    """An encoder that SQL can state too: how often each letter occurs in either case."""
+    counts = [F.length("text") - F.length(F.translate("text", c + c.upper(), "")) for c in LETTERS]
+    return texts.withColumn("vector", F.array(*[c.cast("double") for c in counts]))
+
+
+@query
+def dense_evidence(spark, sf_dir):
+    """Evidence for the benchmark items with passages compared by encoded vectors."""
+    found = rt.retrieve(
+        v.probes(spark, sf_dir), v.corpus(spark, sf_dir), stopwords=v.STOPWORDS, hedge=v.HEDGE, vague=v.VAGUE,
+        encode=_letter_counts, threshold=0.97,
+    )
+    return _flat(found)
+
+
 @query
 def evidence_build_resumed(spark, sf_dir):
     """The flagship as a job in two runs on a stored index: the first half of the claims, then what is pending."""
@@ -493,6 +512,14 @@ def claim_evidence_blend(spark, sf_dir):
     return out.select("claim_id", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 6))
 
 
+@query
+def fusion_vectors(spark, sf_dir):
+    """Model input of claims and all their passages, encoded apart and blended."""
+    rows = ev.align(v.claims(spark, sf_dir), v.own_evidence(spark, sf_dir))
+    out = ft.input_vectors(rows, evidence_fusion="vector", encode=_letter_counts)
+    return out.select("claim_id", F.posexplode("vector").alias("dim", "x")).withColumn("x", F.round("x", 6))
+
+
 @query
 def dense_cosine_filter(spark, sf_dir):
     """Vectors against the mean vector of their label, kept at a cosine of 0.25 or more."""
@@ -678,6 +705,33 @@ def final_summary(spark, sf_dir):
     )
 
 
+@query
+def report_files(spark, sf_dir):
+    """A report written in each format and read back."""
+    report = scores_per_model(spark, sf_dir)
+    out = []
+    for fmt in ("csv", "json"):
+        path = scratch_path(spark, "report")
+        rs.write_report(report, path, fmt)
+        reader = spark.read.schema(report.schema)
+        rows = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+        out.append(rows.select(F.lit(fmt).alias("fmt"), "model", "pos", "score"))
+    return out[0].unionByName(out[1])
+
+
+@query
+def final_nested(spark, sf_dir):
+    """All result sections exported as one JSON object, read back as rows."""
+    results = v.results(spark, sf_dir).select("model", "seed", F.round("test_f1_macro", 6).alias("score"))
+    base = F.col("model") == "full"
+    path = scratch_path(spark, "nested")
+    rs.export_nested({"full": results.where(base), "others": results.where(~base)}, path)
+    row = "array<struct<model:string,seed:int,score:double>>"
+    read = spark.read.schema(f"full {row}, others {row}").json(path)
+    parts = [read.select(F.lit(name).alias("section"), F.inline(name)) for name in ("full", "others")]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def dense_search(spark, sf_dir):
     """The ten nearest vectors of every row whose id is divisible by 100, against all rows."""

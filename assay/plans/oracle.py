@@ -5,7 +5,7 @@ from __future__ import annotations
 from assay.functions.text import TERM
 from assay.lexicons import HEDGE_WORDS, KEPT_WORDS, LABEL_CLASS, VAGUE_WORDS
 from assay.plans import views as v
-from assay.plans.catalog import LABEL_NAMES
+from assay.plans.catalog import LABEL_NAMES, LETTERS
 from assay.sources.claims import RAW_COUNTS
 
 ORACLE: dict[str, str] = {}
@@ -221,17 +221,17 @@ ranked AS (SELECT c.*, s.k, row_number() OVER (PARTITION BY c.claim_id ORDER BY
 SELECT claim_id, rank, page_id, chunk_no, text FROM ranked WHERE rank <= k"""
 
 
-def evidence_rows(source: str, pages: str) -> str:
+def evidence_rows(source: str, pages: str, compared=similar, threshold: str = "0.25") -> str:
     """The whole evidence build, with the second search for claims without a hit."""
     return f"""
 {queries_of(source)}, {index_of(pages)}, {search('queries', 'first_found')},
 again AS (SELECT claim_id, substr(claim, 1, 100) AS query FROM {source} WHERE claim_id NOT IN (SELECT claim_id FROM first_found)),
 {search('again', 'second_found')},
 found AS (SELECT * FROM first_found UNION ALL SELECT * FROM second_found),
-{similar(source, 'found', pages)}, {scored(source, v.HEDGE, v.VAGUE)},
+{compared(source, 'found', pages)}, {scored(source, v.HEDGE, v.VAGUE)},
 kept AS (
   SELECT c.claim_id, text, row_number() OVER (PARTITION BY c.claim_id ORDER BY page_rank, chunk_no) AS r
-  FROM compared c WHERE similarity >= 0.25::DOUBLE
+  FROM compared c WHERE similarity >= {threshold}::DOUBLE
 ),
 counts AS (
   SELECT claim_id, count(DISTINCT page_id) AS n_candidates, count(*) AS n_passages FROM compared GROUP BY claim_id
@@ -250,6 +250,30 @@ evidence AS (
 _FLAT = """SELECT claim_id, k_used, n_candidates, n_passages, n_kept, used_fallback,
   md5(coalesce(array_to_string(passages, ' [SEP] '), '')) AS evidence_md5 FROM evidence"""
 ORACLE["evidence_build"] = f"WITH {SHORT}, {CORPUS}, {evidence_rows('short_claims', 'corpus')} {_FLAT}"
+
+
+def letter_counts(x: str) -> str:
+    return "[" + ", ".join(f"(length({x}) - length(translate({x}, '{c}{c.upper()}', '')))::DOUBLE" for c in LETTERS) + "]"
+
+
+def dense_similar(claims: str, candidates: str, pages: str) -> str:
+    """All passages of candidate pages with the cosine of their letter counts to the claim's."""
+    return f"""
+page_passages AS (
+  SELECT *, {letter_counts('text')} AS vec FROM (
+    SELECT page_id, unnest(list) AS text, (generate_subscripts(list, 1) - 1)::INTEGER AS chunk_no
+    FROM (SELECT page_id, {chunks('extract')} AS list FROM {pages} WHERE page_id IN (SELECT page_id FROM {candidates})))
+),
+claim_vectors AS (SELECT claim_id, {letter_counts('claim')} AS vec FROM {claims}),
+scales AS (
+  SELECT c.claim_id, c.page_id, c.page_rank, g.chunk_no, g.text, list_inner_product(a.vec, g.vec) AS dot,
+    sqrt(list_inner_product(a.vec, a.vec) * list_inner_product(g.vec, g.vec)) AS scale
+  FROM {candidates} c JOIN page_passages g ON c.page_id = g.page_id JOIN claim_vectors a ON a.claim_id = c.claim_id
+),
+compared AS (SELECT *, CASE WHEN scale > 0 THEN dot / scale ELSE 0.0::DOUBLE END AS similarity FROM scales)"""
+
+
+ORACLE["dense_evidence"] = f"WITH {PROBES}, {CORPUS}, {evidence_rows('probes', 'corpus', dense_similar, '0.97')} {_FLAT}"
 ORACLE["evidence_build_resumed"] = ORACLE["evidence_build"]
 ORACLE["fallback_retrieval"] = f"""WITH {CLAIMS}, small AS (SELECT item_id AS page_id, text AS extract FROM benchmark),
 {evidence_rows('claims', 'small')} {_FLAT}"""
@@ -473,6 +497,14 @@ ORACLE["mean_pool"] = f"WITH {_DIMS} SELECT label, dim::INTEGER AS dim, round(av
 ORACLE["claim_evidence_blend"] = f"""WITH {_DIMS}, means AS (SELECT label, dim, avg(x) AS m FROM dims WHERE label <> 0 GROUP BY label, dim)
 SELECT d.claim_id, d.dim::INTEGER AS dim, round(CASE WHEN m.m IS NULL THEN d.x ELSE 0.7::DOUBLE * d.x + 0.3::DOUBLE * m.m END, 6) AS x
 FROM dims d LEFT JOIN means m ON d.label = m.label AND d.dim = m.dim"""
+ORACLE["fusion_vectors"] = f"""WITH {CLAIMS}, {OWN_EVIDENCE},
+own AS (SELECT claim_id, unnest({letter_counts('text')}) AS x, generate_subscripts({letter_counts('text')}, 1) - 1 AS dim
+  FROM (SELECT claim_id, {_CONTEXT} AS text FROM claims)),
+pieces AS (SELECT claim_id, unnest(passages) AS text FROM own_kept),
+counted AS (SELECT claim_id, {letter_counts('text')} AS vec FROM pieces),
+means AS (SELECT claim_id, dim, avg(x) AS m FROM (SELECT claim_id, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS dim FROM counted) GROUP BY ALL)
+SELECT o.claim_id, o.dim::INTEGER AS dim, round(CASE WHEN m.m IS NULL THEN o.x ELSE 0.7::DOUBLE * o.x + 0.3::DOUBLE * m.m END, 6) AS x
+FROM own o LEFT JOIN means m ON o.claim_id = m.claim_id AND o.dim = m.dim"""
 ORACLE["dense_cosine_filter"] = f"""WITH {_DIMS}, means AS (SELECT label, dim, avg(x) AS m FROM dims GROUP BY label, dim),
 cos AS (SELECT d.claim_id, d.label, sum(d.x * m.m) / sqrt(sum(d.x * d.x) * sum(m.m * m.m)) AS similarity
   FROM dims d JOIN means m ON d.label = m.label AND d.dim = m.dim GROUP BY ALL)
@@ -655,6 +687,9 @@ SELECT model, CASE WHEN augmentation = 'baseline' THEN 'baseline' ELSE 'main' EN
   format('{{:.4f}}', accuracy) AS test_acc, format('{{:.4f}}', f1_macro) AS test_f1_macro FROM results"""
 
 
+ORACLE["report_files"] = f"""SELECT fmt, s.* FROM ({ORACLE["scores_per_model"]}) s, (VALUES ('csv'), ('json')) f(fmt)"""
+ORACLE["final_nested"] = f"""WITH {RESULTS}
+SELECT CASE WHEN model = 'full' THEN 'full' ELSE 'others' END AS section, model, seed, round(f1_macro, 6) AS score FROM results"""
 ORACLE["dense_search"] = """
 WITH given AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 units AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS u FROM given WHERE list_inner_product(v, v) > 0),

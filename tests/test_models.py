@@ -117,6 +117,15 @@ def test_balanced(spark):
     assert len({(r.label, r.draw) for r in out}) == 80
 
 
+def test_folds_hold_both_classes(spark):
+    rows = spark.createDataFrame([(i, int(i % 15 == 0)) for i in range(200)], "claim_id long, label int")
+    dealt = md.stratified_folds(rows, 5).collect()
+    sizes = {(y, f): sum(r.label == y and r.fold == f for r in dealt) for y in (0, 1) for f in range(5)}
+    assert len(dealt) == 200 and {r.claim_id for r in dealt} == set(range(200))
+    assert all(sizes[1, f] in (2, 3) and sizes[0, f] in (37, 38) for f in range(5))
+    assert {(r.claim_id, r.fold) for r in dealt} == {(r.claim_id, r.fold) for r in md.stratified_folds(rows.repartition(7), 5).collect()}
+
+
 def test_calibrated_svm(claims):
     rows = ft.hashed_vectors(claims.withColumn("text", F.col("claim"))).drop("text")
     model = md.fit_calibrated_svm(rows, "vector", folds=2, max_iter=10)

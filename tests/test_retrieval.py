@@ -199,6 +199,48 @@ def test_null_claims_keep_their_row(spark):
     assert sorted(rows) == [1, 2, 3] and rows[1].n_kept == 1 and rows[2].passages == [] == rows[3].passages
 
 
+def letter_vectors(texts):
+    return texts.withColumn("vector", F.array(*[(F.length("text") - F.length(F.translate("text", c, ""))).cast("float") for c in "aeiourstln"]))
+
+
+def test_retrieve_with_an_encoder(spark):
+    """Evidence by plugged-in vectors: page order, the claim's budget, a null claim, nothing similar, a shared page."""
+    pages = [(1, "harbour " + "rust " * 250), (2, "harbour " + "eel " * 120), (3, "harbour")]
+    claims = [(1, "the harbour rust rust rust rust"), (2, None), (3, "harbour eel eel eel eel"), (4, "harbour zzz"), (5, "harbour zzz")]
+    got = rt.retrieve(
+        spark.createDataFrame(claims, "claim_id long, claim string"), spark.createDataFrame(pages, "page_id long, extract string"),
+        stopwords=STOP, encode=letter_vectors, threshold=0.9, k_min=2, k_max=2,
+    )
+    rows = {r.claim_id: r for r in got.collect()}
+
+    def vector(text):
+        return [(text or "").count(c) for c in "aeiourstln"]
+
+    def cosine(a, b):
+        scale = math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / scale if scale else 0.0
+
+    found = {(c, p): r for c, p, _, _, r in brute_force_search([(i, t or "") for i, t in claims], pages, 10)}
+    for i, claim in claims:
+        kept, n = [], 0
+        for p in sorted((p for c, p in found if c == i), key=lambda p: found[i, p]):
+            ws = dict(pages)[p].split()
+            for at in range(0, len(ws), 100):
+                n += 1
+                if cosine(vector(claim), vector(" ".join(ws[at : at + 100]))) >= 0.9:
+                    kept.append(" ".join(ws[at : at + 100]))
+        assert (rows[i].passages, rows[i].n_passages, rows[i].k_used) == (kept[:2], n, 2)
+    assert rows[1].n_kept == 2 and rows[2].n_kept == 0 and len(rows) == 5
+
+
+def test_encoded_evidence_is_cut_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(1, 2, "harbour")], "claim_id long, k int, claim string")
+    found = spark.createDataFrame([(1, 1, 1)], "claim_id long, page_id long, page_rank int")
+    pages = spark.createDataFrame([(1, "harbour")], "page_id long, extract string")
+    plan = rt._encoded_kept_per_claim(rows, found, pages, letter_vectors, 100, 0.2, 5, "extract")._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
 def test_passages_cover_the_whole_text(spark):
     text = "  " + "\n".join("w%d" % i for i in range(250)) + " "
     pages = spark.createDataFrame([(1, text), (2, "  "), (3, "one")], "page_id long, extract string")
