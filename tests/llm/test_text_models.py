@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assay.llm.ctw import log_gamma, score_documents
 from assay.llm.mixing import DOMAINS, _projected, fit_classifier, fit_rates, label_domains, mixing_rates, with_posteriors, without_domain
-from assay.llm.quality import FLOORS, STATS, judged, robust_estimates, without_rejected
+from assay.llm.quality import BROAD, FLOORS, STATS, judged, measured, robust_estimates, without_rejected
 from tests.llm.cases import no_documents, odd_documents, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,7 +147,7 @@ def test_rare_languages_and_sources_are_judged(spark):
     assert all(d is not None for _, d in got.values())
 
 
-def test_estimates_match_numpy(spark):
+def test_estimates_find_the_clean_part(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(4000, 5)) @ np.diag([0.5, 1, 1, 0.7, 0.6])
     x[:, 1] += 0.8 * x[:, 0]
@@ -155,11 +155,72 @@ def test_estimates_match_numpy(spark):
     df = spark.createDataFrame([("=en", "=s", *map(float, r)) for r in x], "lang string, pool string, " + ", ".join(f"{s} double" for s in STATS))
     got = robust_estimates(df).first()
     clean = x[600:]
-    lower = np.array([[got[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
-    assert np.abs(np.array([got[f"m{k}"] for k in range(5)]) - clean.mean(0)).max() < 0.1
-    core = lower @ lower.T - np.diag([f**2 for f in FLOORS.values()])  # of the inner three quarters: smaller, same shape
-    ratio = np.diag(core) / np.diag(np.cov(clean.T))
-    assert 0.3 < ratio.min() and ratio.max() < 1 and ratio.max() / ratio.min() < 1.3 and got.scale >= 1
+    assert got.n == 4000 and np.abs(np.array([got[f"m{k}"] for k in range(5)]) - clean.mean(0)).max() < 0.1
+    ratio = np.array([got[f"v{i}{i}"] for i in range(5)]) / (np.diag(np.cov(clean.T)) + [f**2 for f in FLOORS.values()])
+    assert 0.8 < ratio.min() and ratio.max() < 1.6 and ratio.max() / ratio.min() < 1.4
+
+
+def plain_estimates(x):
+    """The estimates of one group in numpy: (n, start, centre, covariance)."""
+    n, floors = len(x), np.array(list(FLOORS.values()))
+    at = lambda bins, share: np.sort(bins, axis=0)[int(np.ceil(n * share)) - 1]
+    bins = np.floor(x * 200 + 0.5)
+    m, s = at(bins, 0.5) / 200, np.sqrt(((at(bins, 0.75) - at(bins, 0.25)) / 200 / 1.349) ** 2 + floors**2)
+    z = (x - m) / s
+    length = np.sqrt((z**2).sum(1, keepdims=True))
+    signs = np.where(length > 0, z / np.where(length > 0, length, 1), 0)
+    shapes = [np.eye(5), signs.T @ signs / n * 5, np.tanh(z).T @ np.tanh(z) / n]
+
+    def distance_bins(m, c):
+        low = np.linalg.cholesky(c + np.diag(floors**2))
+        return np.floor(np.log((np.linalg.solve(low, (x - m).T) ** 2).sum(0) + 1e-6) * 50)
+
+    ends = []
+    for start, shape in enumerate(shapes):
+        centre, c = m, shape * np.outer(s, s)
+        for _ in range(6):
+            d = distance_bins(centre, c)
+            inner = x[d <= at(d, 0.75)]
+            centre, c = inner.mean(0), np.cov(inner.T, ddof=0)
+        volume = np.log(np.diag(np.linalg.cholesky(c + np.diag(floors**2)))).sum()
+        ends.append((round(volume, 9), start, centre, c))
+    _, start, centre, c = min(ends, key=lambda e: e[:2])
+    scale = max(np.exp((at(distance_bins(centre, c), 0.5) + 1) / 50) / 4.351460191096, 1.0)
+    return n, start, centre, (c + np.diag(floors**2)) * scale
+
+
+def test_verdicts_match_numpy(spark, sf_dir):
+    """Estimates of sources, languages and table, their weights, and the distance of every document, with small and single groups."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = measured(docs.select("doc_id", "text", "lang", "source")).drop("text").toPandas()
+    x, passed = rows[list(STATS)].to_numpy(), ~rows.base_failed.to_numpy()
+    lang, source = rows.lang.fillna("").to_numpy(), rows.source.fillna("").to_numpy()
+
+    def drawn(of, wider):
+        w = of[0] / (of[0] + 200)
+        return w * of[2] + (1 - w) * wider[0], w * of[3] + (1 - w) * wider[1]
+
+    table = plain_estimates(x[passed])
+    table = drawn(table, (table[2], np.diag([b**2 for b in BROAD.values()])))
+    want, starts = {}, set()
+    for a in set(lang):
+        mine = (lang == a) & passed
+        if not mine.any():
+            continue
+        by_lang = drawn(plain_estimates(x[mine]), table)
+        for b in set(source[mine]):
+            group = (lang == a) & (source == b)
+            own = plain_estimates(x[group & passed])
+            starts.add(own[1])
+            centre, c = drawn(own, by_lang)
+            low = np.linalg.cholesky(c)
+            for i in np.nonzero(group)[0]:
+                want[rows.doc_id[i]] = (np.linalg.solve(low, x[i] - centre) ** 2).sum()
+    got = {r.doc_id: (r.distance, r.kept, r.base_failed) for r in judged(docs, carry=["doc_id"]).collect()}
+    assert len(starts) > 1 and len(got) == len(rows)
+    for k, (d, kept, failed) in got.items():
+        assert (d is None) == (k not in want) and (d is None or math.isclose(d, want[k], rel_tol=1e-5, abs_tol=1e-7))
+        assert kept == (not failed and (d is None or d <= 40))
 
 
 def labelled(spark, n=1500):
