@@ -202,7 +202,9 @@ def robust_estimates(stats: DataFrame, core: float = CORE, steps: int = STEPS) -
     estimates = cut(_starts(stats))
     for _ in range(steps):
         rows = _distances(stats, estimates, STARTED)
-        inner = rows.join(_kth_bin(rows, STARTED, "bin", {"edge": core}), STARTED).where(F.col("bin") <= F.col("edge"))
+        # Stored, so that its size is known: few groups are broadcast, and no row is shuffled for the edge of its group.
+        edges = cut(_kth_bin(rows, STARTED, "bin", {"edge": core}))
+        inner = rows.join(edges, STARTED).where(F.col("bin") <= F.col("edge"))
         estimates = cut(inner.groupBy(*STARTED).agg(
             *[F.avg(x).alias(f"m{k}") for k, x in enumerate(STATS)],
             *[F.covar_pop(STATS[i], STATS[j]).alias(f"c{i}{j}") for i, j in _pairs()],
