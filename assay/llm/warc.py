@@ -223,8 +223,8 @@ def read_bundles(spark: SparkSession, folder: str, index: DataFrame) -> DataFram
                         )
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    # A named number of partitions: adaptive execution would merge the short list of names, and one task would read all bundles.
-    return index.select("bundle").distinct().repartition(width(spark), "bundle").mapInArrow(read, schema)
+    # Names are dealt out in turn: adaptive execution would merge the short list, and one task would read all bundles.
+    return index.select("bundle").distinct().repartition(width(spark)).mapInArrow(read, schema)
 
 
 def _facts(warc: dict[str, str], http: dict[str, str], payload: bytes) -> tuple:

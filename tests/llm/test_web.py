@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from assay.llm import warc
 from assay.llm.url_rules import judge, rule_table
 from assay.llm.warc import parse_records, read_bundles, read_record, record_bytes, records, write_bundles
@@ -85,6 +87,15 @@ def test_bundles_are_plain_zstandard(spark):
     assert head["WARC-Type"] == "response" and http["Content-Length"] == "400" and payload == b"text" * 100
 
 
+def test_bundles_are_read_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 1000)
+    folder = scratch_path(spark, "bundles")
+    rows = [(i, f"http://a/{i}", f"{i} " * 400, 0, "", "") for i in range(60)]
+    read = read_bundles(spark, folder, write_bundles(records(pages_of(spark, rows).repartition(4)), folder))
+    tasks = Counter(r.task for r in read.select("page_id", F.spark_partition_id().alias("task")).collect())
+    assert sum(tasks.values()) == 60 and len(tasks) > 4
+
+
 def test_no_pages(spark):
     folder = scratch_path(spark, "bundles")
     index = write_bundles(records(pages_of(spark, [])), folder)
