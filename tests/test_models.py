@@ -134,6 +134,16 @@ def test_calibrated_svm(claims):
     assert sum(r.pred == r.label for r in out) > 50
 
 
+def test_svm_folds_have_few_partitions(claims, monkeypatch):
+    """Each iteration is a job with a task for every partition: dealing rows to folds must not leave hundreds."""
+    from pyspark.ml.classification import LinearSVC
+
+    rows, seen, plain = ft.hashed_vectors(claims.withColumn("text", F.col("claim"))).drop("text"), [], LinearSVC.fit
+    monkeypatch.setattr(LinearSVC, "fit", lambda self, df: (seen.append(df.rdd.getNumPartitions()), plain(self, df))[1])
+    md.fit_calibrated_svm(rows, "vector", folds=2, max_iter=2)
+    assert len(seen) == 2 and max(seen) <= rows.sparkSession.sparkContext.defaultParallelism
+
+
 def test_balanced_logistic(spark):
     rows = spark.createDataFrame([(i, [float(i % 10 == 0), 1.0], int(i % 10 == 0)) for i in range(100)], "claim_id long, vector array<double>, label int")
     model = md.fit_logistic(rows, "vector", c=1.0, balance=True)
