@@ -151,7 +151,9 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 def _letter_counts(texts: DataFrame) -> DataFrame:
     """An encoder that SQL can state too: how often each letter occurs in either case."""
-    counts = [F.length("text") - F.length(F.translate("text", c + c.upper(), "")) for c in LETTERS]
+    # Letters are one byte each, so bytes that go missing count them; replacing works on bytes, translating on characters.
+    without = lambda c: F.replace(F.replace(F.col("text"), F.lit(c)), F.lit(c.upper()))
+    counts = [F.octet_length("text") - F.octet_length(without(c)) for c in LETTERS]
     return texts.withColumn("vector", F.array(*[c.cast("double") for c in counts]))
 
 
