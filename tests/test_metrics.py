@@ -196,3 +196,15 @@ def test_mcnemar(spark):
     row = mt.mcnemar(mt.paired_outcomes(df, "clean")).first()
     assert (row.both_right, row.only_base, row.only_variant, row.both_wrong) == (1, 3, 0, 0)
     assert row.statistic == pytest.approx(4 / 3)
+
+
+def test_robustness_grades_predictions_once(spark):
+    """Drops and tests on them read a small stored table; predictions are not made again for each side of a join."""
+    from assay.plans.experiments import robustness
+
+    rows = [(m, s, a, i, i % 2, (i + s) % 2 if a != "clean" else i % 2) for m in ("x", "y") for s in (1, 2) for a in ("clean", "p15") for i in range(4)]
+    out = robustness(spark.createDataFrame(rows, "model string, seed int, attack string, claim_id int, label int, pred int"), within=("model", "seed"))
+    assert "RDD" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.model, r.seed, r.attack): r.robustness_drop for r in out.collect() if r.attack != "clean"} == {
+        (m, s, "p15"): pytest.approx(float(s % 2)) for m in ("x", "y") for s in (1, 2)
+    }
