@@ -26,6 +26,31 @@ _ENCODERS: dict[str, "ChunkEncoder"] = {}
 # Characters whose normal form, lower case and class are beyond doubt; other chunks go through the whole tokenizer.
 _SIMPLE = re.compile("[\x21-\x7e\xa1-\u024f]*")
 
+# The pattern that the vocabularies used here split by; a run of letters is one piece, and so is a mark after it, but for an apostrophe.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_MARKS = frozenset(".,;:!?")
+
+
+# A byte as its character; decoding by Latin-1 and translating takes no loop over the bytes.
+_AS_CHARS = {b: c for b, c in _BYTE_CHARS.items() if chr(b) != c}
+
+
+class _Made(dict):
+    """Values by key, each made when it is first asked for; keys of more than ``longest`` go to ``long``, which its owner empties."""
+
+    def __init__(self, make, longest: int):
+        super().__init__()
+        self.make, self.longest, self.long = make, longest, {}
+
+    def __missing__(self, key):
+        if len(key) <= self.longest:
+            value = self[key] = self.make(key)
+        else:
+            value = self.long.get(key)
+            if value is None:
+                value = self.long[key] = self.make(key)
+        return value
+
 
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
@@ -35,9 +60,10 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = _Made(self._chunk, KEPT_BYTES)
+        self.pieces: dict[str, bytes] = _Made(self._piece, KEPT_BYTES)
         self.split = self._splitter(path)
+        self.by_words = self.split is not None and self.split.__self__.pattern == _WORDS
 
     @staticmethod
     def _splitter(path: str):
@@ -57,31 +83,35 @@ class ChunkEncoder:
         return regex.compile(cuts[0]["pattern"]["Regex"]).findall
 
     def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            plain = piece if piece.isascii() else "".join(_BYTE_CHARS[b] for b in piece.encode())
-            found = self.pieces[piece] = array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
-        return found
+        plain = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_AS_CHARS)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(plain)]).tobytes()
 
     def _chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode()
+        if self.by_words:
+            low, mark = text.lower(), text[-1]
+            word = low[:-1] if mark in _MARKS else low
+            # Letters up to U+024F are simple; some, like a capital I with a dot, are no letters only in lower case.
+            if word.isalpha() and (text.isascii() or max(text) <= "\u024f"):
+                found = self.pieces[word]
+                return found if word is low else found + self.pieces[mark]
         if self.split and _SIMPLE.fullmatch(text) and "<|" not in text:
-            return b"".join([self._piece(p) for p in self.split(text.lower())])
+            return b"".join(map(self.pieces.__getitem__, self.split(text.lower())))
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens of the tokenizer's own."""
-        kept, out = self.kept, []
+        kept, pieces, out = self.kept, self.pieces, []
+        of = kept.__getitem__
         for text in texts:
             if len(kept) > KEPT_CHUNKS:
                 kept.clear()
-            if len(self.pieces) > KEPT_CHUNKS:
-                self.pieces.clear()
-            chunks = (text or "").encode().split()  # bytes.split() knows ASCII white space only
-            long = {}
-            for c in set(chunks).difference(kept):
-                (kept if len(c) <= KEPT_BYTES else long)[c] = self._chunk(c)
-            out.append(b"".join([kept[c] for c in chunks]) if not long else b"".join([kept[c] if c in kept else long[c] for c in chunks]))
+            if len(pieces) > KEPT_CHUNKS:
+                pieces.clear()
+            # bytes.split() knows ASCII white space only
+            out.append(b"".join(map(of, (text or "").encode().split())))
+            kept.long.clear()
+            pieces.long.clear()
         return out
 
 

@@ -8,7 +8,7 @@ import pytest
 
 from assay.llm.packing import first_fit_decreasing, pack_documents
 from assay.llm.token_orc import lookup, token_directory, write_tokens
-from assay.llm.tokens import default_vocabulary, document_ids
+from assay.llm.tokens import ChunkEncoder, default_vocabulary, document_ids
 from assay.session import scratch_path
 from tests.llm.cases import no_documents, odd_documents, rows_of
 
@@ -95,3 +95,21 @@ def test_packing_loses_nothing(spark, tokenizer):
 
 def test_packing_nothing(spark):
     assert pack_documents(no_documents(spark)).count() == 0
+
+
+def test_words_need_no_pattern(tokenizer):
+    """Words with or without a mark are one or two pieces; the pattern is for all else."""
+    letters = [chr(c) for c in range(0x21, 0x260) if chr(c).isalpha()]
+    words = ["".join(letters[i : i + 3]) for i in range(0, len(letters), 3)]
+    texts = [w + mark for w in [*words, *letters, "Word", "it's", "a1"] for mark in ("", ".", ",", "?", "'", "..")]
+    assert [list(x) for x in document_ids(default_vocabulary(), texts, 1)] == [whole(tokenizer, t) for t in texts]
+    coder, asked = ChunkEncoder(default_vocabulary()), []
+    plain, coder.split = coder.split, lambda text: (asked.append(text), plain(text))[1]
+    coder.encode(["Some words, über alles: yes! don't a1 Some"])
+    assert asked == ["don't", "a1"]
+
+
+def test_long_chunks_are_not_kept():
+    coder = ChunkEncoder(default_vocabulary())
+    coder.encode(["ab " + "z" * 300 + " " + "z" * 300 + ". ab", "é" * 90])
+    assert list(coder.kept) == [b"ab"] and not coder.kept.long and not coder.pieces.long
