@@ -124,22 +124,30 @@ def write_blocks(
     count, then by first page.  Pages meet in a block within their task already, so blocks are shuffled, not
     postings, and no task holds all of a term.
     """
+    block_rows(pages, buckets, block, text).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
+def block_rows(pages: DataFrame, buckets: int, block: int, text: str = "extract") -> DataFrame:
+    """The rows of :func:`write_blocks`, dealt out by bucket."""
     numbered = pages.select("page_id", F.col(text).alias("_text"), F.floor(F.monotonically_increasing_id() / block).alias("_group"))
     entry = F.explode(tx.counted(tx.terms(F.col("_text")))).alias("entry")
     rows = numbered.select("page_id", "_group", entry).select(
         F.col("entry.term").alias("term"), F.col("entry.n").cast("long").alias("tf"), "_group", "page_id"
     )
-    table = rows.groupBy("term", "tf", "_group").agg(F.sort_array(F.collect_list("page_id")).alias("ids")).select(
+    bare = rows.groupBy("term", "tf", "_group").agg(F.sort_array(F.collect_list("page_id")).alias("ids")).select(
+        "term", "tf", "ids", term_bucket(F.col("term"), buckets).alias("bucket")
+    )
+    # Bare ids are dealt out; blocks, several times as wide, are made where they are written.
+    return bare.hint("rebalance", "bucket").select(
         "term",
         F.struct((-F.col("tf")).alias("minus_tf"), F.col("ids")[0].alias("top_page")).alias("block"),
         F.size("ids").cast("long").alias("n"),
         F.col("tf").alias("top_tf"),
         F.col("ids")[0].alias("top_page"),
         F.transform("ids", lambda i: F.struct(i.alias("page_id"), F.col("tf").alias("tf"))).alias("entries"),
-        term_bucket(F.col("term"), buckets).alias("bucket"),
+        "bucket",
     )
-    table.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
-    return pages.sparkSession.read.parquet(path)
 
 
 def _asked(queries: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -111,6 +111,14 @@ def test_blocks_are_ordered_and_whole(spark, small_corpus):
     assert {term: sorted(entries) for term, entries in got.items()} == {term: sorted(entries) for term, entries in want.items()}
 
 
+def test_blocks_are_made_after_their_ids_are_dealt_out(spark, small_corpus):
+    """A block is several times as wide as its ids: what is dealt out to buckets has no blocks yet."""
+    _, pages, _, _ = small_corpus
+    plan = rt.block_rows(pages, buckets=4, block=16)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("RebalancePartitions")
+    assert "AS entries" in above and "AS entries" not in below and "AS block" not in below
+
+
 def test_blocks_behind_the_floor_are_not_read(spark):
     """Common terms, ties and copied queries: exact, and few postings of the long lists meet a query."""
     pages = [(i, "common " * (i % 5 + 1) + ("rare%d " % (i % 100)) * (i % 3 + 1) + ("second " * (i % 4) if i % 2 else "")) for i in range(3000)]
