@@ -291,3 +291,21 @@ def test_shuffled_postings_give_the_same(spark, small_corpus, hot_pages):
     assert sorted((r.claim_id, r.page_id, r.matched, r.tf_sum, r.page_rank) for r in got) == brute_force_search(
         raw_queries, raw_pages, 10
     )
+
+
+def test_hits_leave_a_slice_only_among_its_best(spark):
+    """Rows of a search grow with queries and slices, not with hits; repeated and null page ids count as one page."""
+    pages = [(i % 180, "common word%d " % (i % 5) + "common " * (i % 3)) for i in range(200)] + [(None, "common word1"), (None, "word1")]
+    queries = [(q, t) for q in range(30) for t in ("common", "word%d" % (q % 5), "absent")] + [(7, "common")]
+    read = rt.postings(spark.createDataFrame(pages, "page_id long, extract string"))
+    query_terms = spark.createDataFrame(queries, "query_id long, term string")
+    expected = {}
+    for q, p, m, s in rt._score(query_terms.join(read, "term"), "query_id").collect():
+        expected.setdefault(q, []).append((-m, -s, -1 if p is None else p))
+    for slice_postings, block_queries in ((10**6, 10**6), (150, 7)):
+        got, slices = {}, -(-read.count() // slice_postings)
+        rows = rt.sliced_hits(query_terms, read, 4, slice_postings, block_queries).collect()
+        assert len(rows) <= 30 * slices * 4
+        for q, p, m, s in rows:
+            got.setdefault(q, []).append((-m, -s, -1 if p is None else p))
+        assert {q: sorted(x)[:4] for q, x in got.items()} == {q: sorted(x)[:4] for q, x in expected.items()}
