@@ -309,3 +309,14 @@ def test_hits_leave_a_slice_only_among_its_best(spark):
         for q, p, m, s in rows:
             got.setdefault(q, []).append((-m, -s, -1 if p is None else p))
         assert {q: sorted(x)[:4] for q, x in got.items()} == {q: sorted(x)[:4] for q, x in expected.items()}
+
+
+def test_terms_of_a_page_are_counted_before_it_meets_claims(spark, sf_dir):
+    """However many claims share a page: no pattern is matched on the rows of claims and candidates."""
+    claims = spark.range(3).selectExpr("id AS claim_id", "'alpha beta gamma' AS claim")
+    pages = spark.createDataFrame([(1, "alpha beta beta"), (2, "")], "page_id long, extract string")
+    candidates = claims.selectExpr("claim_id", "1L AS page_id", "1 AS page_rank")
+    scored = rt.scored_passages(claims, candidates, pages)
+    assert {round(r.similarity, 6) for r in scored.collect()} == {round(3 / math.sqrt(15), 6)}
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan[: plan.index("Join")]
