@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from assay.llm import suffix_dedup
-from assay.llm.induced import repeated, sorted_suffixes
+from assay.llm import induced, suffix_dedup
+from assay.llm.induced import END, repeated, sorted_suffixes
 from assay.llm.suffix_dedup import removal_digests, repeated_windows, without_repeats
 from tests.llm.cases import no_documents, odd_documents, rows_of
 
@@ -76,6 +76,21 @@ def digests(docs, length):
     return want
 
 
+def test_names_that_are_alone_are_not_sorted_again(monkeypatch):
+    """Doubling goes on with the names that others share: a copied passage of 300 bytes, not 20,000 random ones around it."""
+    rng = np.random.default_rng(5)
+    noise, passage = rng.integers(1, 250, 20000, "u1"), rng.integers(1, 250, 300, "u1")
+    text = np.concatenate([noise[:9000], passage, noise[9000:], passage, [END]]).astype("u1")
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(induced.np, "argsort", lambda a, **options: sizes.append(len(a)) or argsort(a, **options))
+    padded = np.concatenate([text, np.zeros(16, "u1")])
+    starts = np.nonzero((text[1:-1] < text[:-2]) & (text[1:-1] < text[2:]))[0] + 1
+    order, shared = induced._sort_starred(len(text), induced._words(padded), starts, 200)
+    whole = text.tobytes()
+    assert all(whole[a : a + 200] <= whole[b : b + 200] for a, b in zip(order[:-1].tolist(), order[1:].tolist()))
+    assert max(shared) == 200 and sum(n > len(starts) // 2 for n in sizes) <= 3
+
+
 @pytest.mark.parametrize("length", [400, 150])
 def test_removal(spark, length):
     docs = odd_documents(spark)
