@@ -10,12 +10,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay.functions.hashing import digest
 from assay.functions.vectors import dot
+from assay.session import cut
 
 # Rows that the centres are fitted on at most: they steer the cost, not the result.
 FIT_ROWS = 100_000
@@ -23,6 +28,9 @@ FIT_ROWS = 100_000
 # Room for rounding in the bounds.
 SLACK = 1e-6
 
+# Vectors of a block that one task compares, and comparisons made at once.
+BLOCK_ROWS, COMPARED = 50_000, 4_000_000
+
 
 @dataclass
 class DenseIndex:
@@ -69,11 +77,59 @@ def _distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(apart, F.lit(0.0), lambda s, x: s + x))
 
 
-def _looked_up(asked: DataFrame, index: DenseIndex, k: int) -> DataFrame:
-    """(query_id, id, cosine): the best k of the asked (query_id, cell, unit), ties to the smaller id."""
-    other = index.stored.select("cell", "id", F.col("unit").alias("_unit"))
-    met = asked.join(other, "cell").where(F.col("id") != F.col("query_id"))
-    return _best(met.select("query_id", "id", F.round(dot(F.col("unit"), F.col("_unit")), 9).alias("cosine")), k)
+def _looked_up(asked: DataFrame, index: DenseIndex, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id, cosine): the best k of the asked (query_id, cell, unit), ties to the smaller id.
+
+    Cells are cut into blocks of at most about ``block_rows`` vectors, and a task compares a block with all that ask for its cell:
+    pairs are no rows, only the nearest of a block are.
+    """
+    cores = asked.sparkSession.sparkContext.defaultParallelism
+    blocks = max(-(-index.stored.count() // block_rows), -(-2 * cores // max(index.count, 1)))
+    place = (F.col("cell") * blocks + F.col("block")).cast("long").alias("place")
+    other = index.stored.where(F.col("id").isNotNull()).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).select(place, "id", "unit")
+    asking = asked.where(F.col("query_id").isNotNull()).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(place, "query_id", "unit")
+    # Few bytes for much work: dealt out by number.
+    left, right = (rows.repartition(2 * blocks * max(index.count, 1), "place").groupBy("place") for rows in (asking, other))
+    kind = T.StructType([T.StructField("query_id", asked.schema["query_id"].dataType), T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType())])
+    met = left.cogroup(right).applyInArrow(_nearest(k), kind)
+    return _best(met.select("query_id", "id", F.round("cosine", 9).alias("cosine")), k)
+
+
+def _nearest(k: int):
+    """Compares all asking vectors with all of a block and leaves those that may be among the best ``k``, with their cosines."""
+
+    def matrix(rows: pa.Table) -> np.ndarray:
+        return pc.list_flatten(rows.column("unit")).to_numpy().reshape(rows.num_rows, -1)
+
+    def compare(asking: pa.Table, block: pa.Table) -> pa.Table:
+        owners, places, cosines = [np.zeros(0, "i8")], [np.zeros(0, "i8")], [np.zeros(0)]
+        if asking.num_rows and block.num_rows:
+            a, b = matrix(asking), matrix(block)
+            own, ids, n = asking.column("query_id").to_numpy(), block.column("id").to_numpy(), block.num_rows
+            step = max(1, COMPARED // n)
+            for at in range(0, len(a), step):
+                near = a[at : at + step] @ b.T
+                near[own[at : at + step, None] == ids[None, :]] = -np.inf
+                least = np.partition(near, n - k, axis=1)[:, n - k] if n > k else np.full(len(near), -np.inf)
+                for q, (row, bound) in enumerate(zip(near, least), at):
+                    found = np.flatnonzero((row >= bound - SLACK) & (row > -np.inf))
+                    # The cosine is summed from left to right, as Spark does.
+                    exact, part = np.zeros(len(found)), b[found]
+                    for x in range(b.shape[1]):
+                        exact += a[q, x] * part[:, x]
+                    order = np.lexsort((ids[found], -exact))
+                    found, exact = found[order], exact[order]
+                    # Of equal cosines, as many copies have, the k smallest ids do.
+                    number = np.arange(len(found))
+                    same = np.maximum.accumulate(np.where(np.append(True, exact[1:] != exact[:-1]), number, 0)) if len(found) else number
+                    keep = number - same < k
+                    owners.append(np.full(int(keep.sum()), q))
+                    places.append(found[keep])
+                    cosines.append(exact[keep])
+        rows, columns, values = (np.concatenate(x) for x in (owners, places, cosines))
+        return pa.table({"query_id": asking.column("query_id").take(pa.array(rows)), "id": block.column("id").take(pa.array(columns)), "cosine": values})
+
+    return compare
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -92,7 +148,7 @@ def search(queries: DataFrame, index: DenseIndex, k: int = 10, probes: int = 2,
     placed = placed.select("query_id", "unit", "cell", _distance(F.col("unit"), F.col("center")).alias("d"), "radius")
     near = Window.partitionBy("query_id").orderBy("d", "cell")
     placed = placed.withColumn("turn", F.row_number().over(near))
-    first = _looked_up(placed.where(F.col("turn") <= probes).select("query_id", "cell", "unit"), index, k)
+    first = cut(_looked_up(placed.where(F.col("turn") <= probes).select("query_id", "cell", "unit"), index, k))
     # The k-th best so far; a query with fewer looks everywhere.
     bound = first.groupBy("query_id").agg(F.min("cosine").alias("worst"), F.count("*").alias("n"))
     left = placed.where(F.col("turn") > probes).join(bound, "query_id", "left")

@@ -67,3 +67,18 @@ def test_no_vectors(spark):
     nothing = table(spark, [(1, None)])
     index = dense.build_index(nothing, scratch_path(spark, "dense"))
     assert dense.search(table(spark, [(2, [1.0, 0.0])]), index).count() == 0
+
+
+def test_pairs_are_no_rows(spark):
+    """A task leaves the nearest of its block: as many copies as there are, a query with k = 3 gets a few rows of each, the smallest ids first."""
+    vectors = table(spark, [(i, [1.0, 0.0]) for i in range(400)] + [(1000 + i, [1.0, i / 100]) for i in range(400)])
+    index = dense.build_index(vectors, scratch_path(spark, "dense"), cells=2)
+    asked = dense.unit_vectors(vectors.where("vec_id IN (5, 1007)"), "vec_id", "embedding").withColumnRenamed("id", "query_id")
+    asked = asked.crossJoin(index.cells.select("cell"))
+    best = dense._looked_up(asked, index, 3, block_rows=100)
+    assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    got = {}
+    for r in best.collect():
+        got.setdefault(r.query_id, []).append((-r.cosine, r.id))
+    assert sorted(got[5]) == [(-1.0, 0), (-1.0, 1), (-1.0, 2)]
+    assert {i for _, i in got[1007]} < {1005, 1006, 1008, 1009}
