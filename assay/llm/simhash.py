@@ -35,6 +35,9 @@ BANDS, BAND_ROWS = 48, 8
 # Nodes of a group that all others of it are compared with first.
 HUBS = 3
 
+# Ratio of the sizes of neighbouring classes, by which sets of different groups meet.
+SIZE_STEP = 1.02
+
 # Cost of a probe (a row to shuffle) in candidates to verify.
 PROBE_COST = 10
 
@@ -275,13 +278,38 @@ def hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def apart_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of members (key, node) of a key that lie in different components (node, root)."""
+def mixed_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the members (key, node) of all keys whose members lie in different components (node, root), once each."""
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of = Window.partitionBy("key")
-    mixed = cut(placed.withColumn("low", F.min("root").over(of)).withColumn("high", F.max("root").over(of)).where("low < high").select("key", "node", "root"))
-    left, right = mixed.toDF("key", "a", "root_a"), mixed.toDF("key", "b", "root_b")
-    return left.join(right, "key").where("a < b AND root_a <> root_b").select("a", "b").distinct()
+    return placed.withColumn("low", F.min("root").over(of)).withColumn("high", F.max("root").over(of)).where("low < high").select("node", "root").distinct()
+
+
+def prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: a superset of the pairs of sets (node, root, shingles) with different roots that reach ``similarity``.
+
+    Prefix filter: two sets of x and y members reach it only with t = (x + y) * similarity / (1 + similarity) in common, so in
+    one order of all shingles the first one in common has t - 1 others behind it in both.  Shingles with one root come first
+    in that order, as no such pair has them in common, then rare ones.  Sets meet on a shingle and a class of sizes, so that
+    a common shingle behind many rare ones meets only sets small enough for it; of its most frequent root no two sets meet.
+    """
+    share = similarity / (1 + similarity)
+    size_class = lambda size: F.floor(F.log(F.greatest(size, F.lit(1.0))) / F.log(F.lit(SIZE_STEP)))
+    held = sets.select("node", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    counts = held.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle", "n")
+    ranked = held.join(counts, "shingle").groupBy("node", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("ranked"))
+    # Shingles behind the one at ``behind``, and it: at least t, which is least for the smallest set that may be alike.
+    places = ranked.select("node", "root", "size", F.size("ranked").alias("m"), F.posexplode("ranked").alias("at", "of"))
+    places = places.select("node", "root", "size", F.col("of.shingle").alias("shingle"), (F.col("m") - F.col("at")).alias("behind"))
+    prefix = cut(places.where(F.col("behind") >= similarity * F.col("size") - 1e-9))
+    most = prefix.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count("*").alias("roots"))
+    prefix = prefix.join(most.where("roots > 1"), "shingle")
+    smallest, largest = similarity * F.col("size") - 1e-9, F.col("behind") / share - F.col("size") + 1e-9
+    probes = prefix.where("root <> top").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "size", "behind")], F.explode(F.sequence(size_class(smallest), size_class(F.greatest(largest, smallest)))).alias("class"))
+    stored = prefix.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "size", "behind")], size_class(F.col("size").cast("double")).alias("class"))
+    enough = F.least("behind_a", "behind_b") >= share * (F.col("size_a") + F.col("size_b")) - 1e-9
+    met = probes.join(stored, ["shingle", "class"]).where((F.col("root_a") != F.col("root_b")) & enough)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def without_near_copies(docs: DataFrame, distance: int = 4, shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -291,7 +319,7 @@ def without_near_copies(docs: DataFrame, distance: int = 4, shingle_words: int =
     if the share of common distinct shingles among all of both, counted on the whole sets, is at least ``similarity``; min-hash
     signatures only drop pairs far below it before that.  Groups are what links connect.  Of the sets with a band (or the whole
     fingerprint) in common, all are first compared with a few of them, so that a large group of copies falls together at the cost
-    of its size; then all pairs are compared that lie in different groups so far, whatever their number.  A null doc_id comes after all others, equal ids in order of a digest of the text; of repeated rows one
+    of its size; then those that lie in different groups so far meet by their rarest shingles (``prefix_pairs``), which loses no link.  A null doc_id comes after all others, equal ids in order of a digest of the text; of repeated rows one
     stays.  Null and empty texts are copies of each other.
     """
 
@@ -328,21 +356,26 @@ def without_near_copies(docs: DataFrame, distance: int = 4, shingle_words: int =
         near = links(nodes.select("fp").distinct(), distance)
         near = near.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
+        def sets_of(some: DataFrame) -> DataFrame:
+            """(node, shingles): whole shingle sets of distinct nodes (node), from one document for each."""
+            named = nodes.join(some, "node").select("node", F.col("first.doc_id").alias("named_id"), F.col("first.key").alias("named_key"))
+            sources = texts.join(named, (F.col("key") == F.col("named_key")) & F.col("doc_id").eqNullSafe(F.col("named_id"))).select("node", "text")
+            return cut(sources.dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles array<long>"))
+
         def verified(pairs: DataFrame) -> DataFrame:
             """Those of the distinct pairs (a, b) that are links, by signatures and then by whole sets."""
             signed = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
             close = cut(signed.mapInArrow(lambda batches: _alike(batches, similarity), "a long, b long"))
-            # Whole shingle sets of the documents that pairs name, one document for each node.
-            named = nodes.join(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("first.doc_id").alias("named_id"), F.col("first.key").alias("named_key"))
-            sources = texts.join(named, (F.col("key") == F.col("named_key")) & F.col("doc_id").eqNullSafe(F.col("named_id"))).select("node", "text")
-            sets = cut(sources.dropDuplicates(["node"]).mapInArrow(shingles, "node long, shingles array<long>"))
+            sets = sets_of(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
             both = close.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
             common, sizes = F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")
             return both.select("a", "b", common.alias("common"), sizes.alias("sizes")).where(F.col("common") >= similarity * (F.col("sizes") - F.col("common")) - 1e-9).select("a", "b")
 
         tried = cut(hub_pairs(members).union(near).distinct())
         linked = cut(verified(tried))
-        rest = cut(apart_pairs(members, components(linked, "a", "b")).join(tried, ["a", "b"], "left_anti"))
+        mixed = cut(mixed_members(members, components(linked, "a", "b")))
+        apart = prefix_pairs(sets_of(mixed.select("node")).join(mixed, "node"), similarity)
+        rest = cut(apart.join(tried, ["a", "b"], "left_anti"))
         roots = components(linked.union(verified(rest)), "a", "b")
         grouped = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         kept = lasting(grouped.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key")))

@@ -9,9 +9,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from assay.llm import simhash as simhash_module
 from assay.llm.fingerprints import compare_with_edits, fingerprint, likeness, low, merged, near, shingles, sketch
 from assay.llm.graph import components
-from assay.llm.simhash import allocate, ball, linked_components, links, without_near_copies
+from assay.llm.simhash import allocate, ball, linked_components, links, prefix_pairs, without_near_copies
 from tests.llm.cases import no_documents, odd_documents, rows_of
 
 
@@ -143,6 +144,48 @@ def test_groups_equal_all_comparisons(spark, big):
     assert {r.doc_id for r in without_near_copies(docs).collect()} == {find(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("edits", [(3, 8), (0, 8)])
+def test_pairs_of_a_large_group_that_are_no_links_stay_few(spark, monkeypatch, edits):
+    """Copies that share bands, but are mostly too far apart: the pairs to compare grow with the group, not its square."""
+    rng, n = np.random.default_rng(edits[0]), 500
+    base, texts = [f"w{x}" for x in range(150)], []
+    for _ in range(n):
+        spots = set(rng.choice(150, rng.integers(*edits), False).tolist())
+        texts.append([w for i, w in enumerate(base) for w in ([] if i in spots and rng.random() < 0.3 else [f"e{rng.integers(10**9)}"] if i in spots else [w])])
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(n):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if find(i) != find(j) and common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    made, cut = [], simhash_module.cut
+    monkeypatch.setattr(simhash_module, "cut", lambda df, *a: (out := cut(df, *a), made.append(out.count() if out.columns == ["a", "b"] else 0))[0])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in without_near_copies(docs).collect()} == {find(i) for i in range(n)}
+    assert len({find(i) for i in range(n)}) > n / 4 and max(made) < 40 * n
+
+
+def test_prefixes_meet_all_alike_sets(spark):
+    """All pairs of alike sets with different roots are among the pairs, also of few shingles, equal sets and frequent shingles."""
+    rng, sets = np.random.default_rng(5), []
+    for size in (1, 2, 3, 4, 5, 6, 9, 10, 11, 40, 41, 90):
+        for _ in range(4):
+            whole = rng.choice(120 if size > 6 else 12, size, False).tolist()
+            sets += [set(whole), {*whole[: max(1, int(size * 0.85))]}, {*whole[1:], 500 + len(sets)}, {*whole, 900 + len(sets)}, set(whole)]
+    root = [int(r) for r in rng.integers(0, 40, len(sets))]
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    rows = spark.createDataFrame([(i, r, sorted(s)) for i, (r, s) in enumerate(zip(root, sets))], "node long, root long, shingles array<long>")
+    got = [tuple(r) for r in prefix_pairs(rows, 0.8).collect()]
+    assert len(got) == len(set(got)) and len(alike) > 100 and alike <= set(got) and all(root[a] != root[b] and a < b for a, b in got)
+
+
 def test_edits_and_next_documents(spark):
     docs = odd_documents(spark)
     found = compare_with_edits(docs).collect()
