@@ -320,3 +320,28 @@ def test_terms_of_a_page_are_counted_before_it_meets_claims(spark, sf_dir):
     assert {round(r.similarity, 6) for r in scored.collect()} == {round(3 / math.sqrt(15), 6)}
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan[: plan.index("Join")]
+
+
+def test_cells_are_as_many_as_tasks_not_as_queries_times_pages():
+    """Postings are copied per block of queries, queries and hits per group of slices: both are few, whatever the size."""
+    assert rt.cells(480_000_000, 1_600_000, 24) == (120, 12, 2)
+    assert rt.cells(8_000_000, 25_000, 16) == (16, 16, 1)
+    assert rt.cells(600_000, 25_000, 16) == (3, 3, 6)
+    assert rt.cells(0, 0, 16) == (1, 1, 16)
+
+
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_the_best_of_many_slices(spark, monkeypatch, kind):
+    """Slices of a group are gone through in one task; of pages that score the same the first ones count, a null before all others."""
+    monkeypatch.setattr(rt, "EMIT_QUERIES", 7)
+    pages = [(i, "common word%d " % (i % 5) + "common " * (i % 2)) for i in range(3000)] + [(None, "common common word3")]
+    named = spark.createDataFrame(pages, "page_id long, extract string").withColumn("page_id", F.col("page_id").cast(kind))
+    read = rt.postings(named)
+    query_terms = spark.createDataFrame([(q, t) for q in range(40) for t in ("common", "word%d" % (q % 5))], "query_id long, term string")
+    for block_queries in (10**6, 9):
+        hits = rt.sliced_hits(query_terms, read, 3, slice_postings=50, block_queries=block_queries)
+        assert hits.schema["page_id"].dataType == read.schema["page_id"].dataType
+        expected = rt._best_pages(rt._score(query_terms.join(read, "term"), "query_id"), "query_id", 3)
+        assert sorted(map(str, rt._best_pages(hits, "query_id", 3).collect())) == sorted(map(str, expected.collect()))
+        if kind != "string":
+            assert hits.count() <= 40 * 3 * 2 * spark.sparkContext.defaultParallelism
