@@ -345,3 +345,33 @@ def test_the_best_of_many_slices(spark, monkeypatch, kind):
         assert sorted(map(str, rt._best_pages(hits, "query_id", 3).collect())) == sorted(map(str, expected.collect()))
         if kind != "string":
             assert hits.count() <= 40 * 3 * 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_texts_follow_chosen_passages(spark, repeat):
+    """Passages are chosen by number; where an id stands for several pages, their own texts are kept and put in order."""
+    words = " ".join(f"w{i}" for i in range(6))
+    pages = [(1, words), (2, "w0 w1 x y w0 w2 z z w3 w4 w5 w0"), (3, "none of them")] + ([(1, "w0 w9 w1 w2 w3 q")] if repeat else [])
+    claims = spark.createDataFrame([(7, words, 3), (8, "w0 w1", 1), (9, "else", 2)], "claim_id long, claim string, k int")
+    found = spark.createDataFrame([(c, p, r) for c in (7, 8, 9) for p, r in ((2, 1), (1, 2), (3, 3))], "claim_id long, page_id long, page_rank int")
+    frame = spark.createDataFrame(pages, "page_id long, extract string")
+    kept = rt._kept_per_claim(claims, found, frame, 2, 0.2, 5, "extract")
+    got = {r.claim_id: [tuple(e) for e in r.evidence] for r in kept.collect()}
+    assert got[7] == [(2, 0, "w0 w1"), (2, 2, "w0 w2"), (2, 4, "w3 w4")]
+    assert got[8] == [(2, 0, "w0 w1")] and got[9] == []
+    claims = spark.createDataFrame([(7, words, 9)], "claim_id long, claim string, k int")
+    (row,) = rt._kept_per_claim(claims, found, frame, 2, 0.2, 9, "extract").collect()
+    own = [(1, 0, "w0 w1"), (1, 1, "w2 w3"), (1, 2, "w4 w5")]
+    other = [(1, 0, "w0 w9"), (1, 1, "w1 w2"), (1, 2, "w3 q")] if repeat else []
+    first = [(2, 0, "w0 w1"), (2, 2, "w0 w2"), (2, 4, "w3 w4"), (2, 5, "w5 w0")]
+    assert [tuple(e) for e in row.evidence] == (first + own + other)[:9] and row.n_candidates == 3 + repeat
+
+
+def test_texts_are_not_shuffled_with_every_pair(spark):
+    """Ten pages of a claim keep ten passages each, of which one is evidence: the chosen texts alone are grouped by claim."""
+    pages = [(p, " ".join(["same words here"] * 400)) for p in range(10)]
+    claims = spark.createDataFrame([(c, "same words here", 1) for c in range(20)], "claim_id long, claim string, k int")
+    found = spark.createDataFrame([(c, p, p + 1) for c in range(20) for p in range(10)], "claim_id long, page_id long, page_rank int")
+    kept = rt._kept_per_claim(claims, found, spark.createDataFrame(pages, "page_id long, extract string"), 100, 0.2, 5, "extract")
+    assert "page_rank" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert all(len(r.evidence) == 1 and r.evidence[0].page_id == 0 and r.n_passages == 120 for r in kept.collect())
